@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators import orphans, snapshots
+from cairnlake.functions.keys import is_directory, norm_hash
+from cairnlake.operators import compaction, orphans, snapshots
+from cairnlake.operators.hierarchy import Hierarchy, hierarchy
 from cairnlake.sources.tables import table
 
 
@@ -45,7 +47,50 @@ def p6_summary(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
+def _graph(spark: SparkSession, root: str) -> Hierarchy:
+    """Commits (c:hash) and directories (t:hash) as one graph."""
+    commits, trees = table(spark, root, "commits"), table(spark, root, "tree_entries")
+    key = lambda kind, c: F.concat(F.lit(kind), norm_hash(F.col(c)))
+    dirs = trees.where(is_directory(F.col("mode")))
+    nodes = commits.select(key("c:", "hash").alias("node")).unionByName(trees.select(key("t:", "tree_hash").alias("node")))
+    nodes = nodes.unionByName(dirs.select(key("t:", "hash").alias("node")))
+    named = F.concat(F.array("parent"), F.coalesce("parents", F.array().cast("array<string>")))
+    of_commits = commits.select(key("c:", "hash").alias("child"), F.posexplode(named).alias("ord", "p")).select("child", key("c:", "p").alias("parent"), "ord")
+    of_dirs = dirs.select(key("t:", "hash").alias("child"), key("t:", "tree_hash").alias("parent"), F.lit(0).alias("ord"))
+    return hierarchy(nodes, of_commits.unionByName(of_dirs))
+
+
+def _kind(c: str = "node"):
+    return F.when(F.col(c).startswith("c:"), "commit").otherwise("tree").alias("kind")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    graph = _graph(spark, root)
+    below = graph.root_links().select(_kind(), F.substring("node", 3, 1 << 20).alias("node"), F.substring("root", 3, 1 << 20).alias("root"), F.col("n_links").cast("int").alias("n_links"))
+    cycles = graph.on_cycles.select(_kind(), F.substring("node", 3, 1 << 20).alias("node"), F.lit("cycle").alias("root"), F.lit(-1).alias("n_links"))
+    return below.unionByName(cycles)
+
+
+def p2_hierarchy(spark: SparkSession, root: str) -> DataFrame:
+    """Path, depth, root and nested-set range of every commit and directory; directories have their names in the path."""
+    trees = table(spark, root, "tree_entries").where(is_directory(F.col("mode")))
+    names = trees.select(F.concat(F.lit("t:"), norm_hash(F.col("hash"))).alias("node"), "name").where("node is not null").groupBy("node").agg(F.min("name").alias("name"))
+    paths = _graph(spark, root).with_paths(names)
+    return paths.select(
+        _kind(), F.substring("node", 3, 1 << 20).alias("node"), F.regexp_replace("path", "[ct]:", "").alias("path"), "depth", F.substring("root", 3, 1 << 20).alias("root"), "pre", "size", "n_descendants", "unprocessed"
+    )
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return compaction.compact(table(spark, root, "object_files")).duplicates
+
+
+def p4_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files that the compaction wrote."""
+    return compaction.compact(table(spark, root, "object_files")).files()
+
+
+QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p4_found": p4_found, "p4_files": p4_files, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
 
 
 def norm_hash_sql(c: str) -> str:
@@ -92,7 +137,32 @@ ch AS (
   FROM n FULL JOIN o USING (repo, branch, seq, path) WHERE n.h IS DISTINCT FROM o.h)
 """
 
+_P2 = f"""
+WITH RECURSIVE c AS (SELECT DISTINCT 'commit' AS kind, {norm_hash_sql("hash")} AS child, unnest([parent] || coalesce(parents, [])) AS p FROM commits),
+nodes AS (
+  SELECT DISTINCT kind, node FROM (
+    SELECT 'commit' AS kind, {norm_hash_sql("hash")} AS node FROM commits
+    UNION ALL SELECT 'tree', {norm_hash_sql("tree_hash")} FROM tree_entries
+    UNION ALL SELECT 'tree', {norm_hash_sql("hash")} FROM tree_entries WHERE lower(trim(mode)) IN ('directory', '040000'))
+  WHERE node IS NOT NULL),
+links AS (
+  SELECT DISTINCT l.* FROM (
+    SELECT kind, child, {norm_hash_sql("p")} AS parent FROM c
+    UNION ALL SELECT 'tree', {norm_hash_sql("hash")}, {norm_hash_sql("tree_hash")} FROM tree_entries WHERE lower(trim(mode)) IN ('directory', '040000')) l
+  JOIN nodes a ON a.kind = l.kind AND a.node = l.child JOIN nodes b ON b.kind = l.kind AND b.node = l.parent),
+down AS (
+  SELECT kind, node, node AS root, 0 AS n FROM nodes n WHERE NOT EXISTS (FROM links l WHERE l.kind = n.kind AND l.child = n.node)
+  UNION SELECT d.kind, l.child, d.root, n + 1 FROM down d JOIN links l ON l.kind = d.kind AND l.parent = d.node WHERE n < 1000),
+anc AS (SELECT kind, child AS node, parent AS a FROM links UNION SELECT x.kind, x.node, l.parent FROM anc x JOIN links l ON l.kind = x.kind AND l.child = x.a)
+"""
+
 SQL = {
+    "p2_found": _P2
+    + """SELECT kind, node, root, min(n)::INTEGER AS n_links FROM down GROUP BY ALL
+UNION ALL SELECT kind, node, 'cycle', -1 FROM anc WHERE node = a""",
+    "p4_found": f"""
+SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY {norm_hash_sql("hash")}, data) AS first
+FROM object_files WHERE data IS NOT NULL AND {norm_hash_sql("hash")} IS NOT NULL) WHERE file_id > first""",
     "p3_found": _P3 + "SELECT ref_table, ref_id, target_hash, ref_state, strftime(recorded_at, '%Y-%m') AS ref_month FROM orph WHERE ref_state IS NOT NULL",
     "p3_report": _P3
     + """, tot AS (SELECT ref_table, strftime(recorded_at, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL)
