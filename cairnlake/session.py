@@ -48,9 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (survives the loss of executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage in a loop: the rows are written to the shared folder (they survive the loss of executors).
+
+    A plain ``checkpoint()`` hands on the partitionings, orderings and constraints of its plan; where a table is joined
+    with itself round after round these double each time until planning never ends, so a table is written instead.
+    """
+    return staged(df, "cut")
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -60,7 +63,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
