@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import norm_hash
-from cairnlake.llm import encode, membership, packing, splitting
+from cairnlake.llm import encode, membership, packing, splitting, subjects
 from cairnlake.plans.problems import norm_hash_sql
 from cairnlake.session import staged
 from cairnlake.sources.tables import table
@@ -61,7 +61,31 @@ def p5_rate(spark: SparkSession, root: str) -> DataFrame:
     return _membership(spark, root).rate()
 
 
+def _subject_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, root, "documents"), table(spark, root, "subject_labels"), table(spark, root, "subjects")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, root)).select("doc_id", "subject").distinct()
+
+
+def p9_makeup(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents, and of how many characters, are about each subject."""
+    docs = table(spark, root, "documents")
+    found = subjects.document_subjects(*_subject_tables(spark, root))
+    sized = found.join(docs.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    return sized.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"), F.avg("probability").alias("mean_probability"))
+
+
+def p9_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Right, wrong and missed cases among held-out labelled documents."""
+    return subjects.held_out_quality(*_subject_tables(spark, root))
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_makeup": p9_makeup,
+    "p9_quality": p9_quality,
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p1_entry_pieces": p1_entry_pieces,
