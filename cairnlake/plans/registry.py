@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import problems
+from cairnlake.plans import problems, storage
 
-MODULES = (problems,)
+MODULES = (problems, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
