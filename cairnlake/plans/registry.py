@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import problems, storage
+from cairnlake.plans import problems, storage, trees
 
-MODULES = (problems, storage)
+MODULES = (problems, storage, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
