@@ -16,7 +16,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from cairnlake.session import staged
 #: Bound of the labelled sample, in documents; the sample is taken by a hash of the id.
 MAX_LABELLED = 20_000
 #: Bound of the vocabulary of words and pairs (the most frequent in labelled documents), and how many n-gram vectors there are.
-MAX_VOCABULARY, GRAM_BUCKETS = 60_000, 1 << 15
+MAX_VOCABULARY, GRAM_BUCKETS = 40_000, 1 << 14
 DIMENSION, SHARDS, ROUNDS, LOCAL_STEPS, RATE = 16, 6, 8, 20, 0.03
 #: A step sees a batch of a shard: at least so many documents, or a LOCAL_STEPS-th of the shard.
 BATCH = 150
@@ -95,13 +95,11 @@ def word_rows(words: list[str], vocabulary: dict[str, int]) -> Sparse:
 
 @dataclass
 class Model:
-    """Parameters and the running moments of the optimiser."""
+    """The parameters, and how many steps led to them."""
 
     subjects: list[str]
     vocabulary: dict[str, int]
     params: list[np.ndarray]  # embeddings, outputs, biases
-    first: list[np.ndarray] = field(default_factory=list)
-    second: list[np.ndarray] = field(default_factory=list)
     steps: int = 0
 
     @staticmethod
@@ -113,7 +111,7 @@ class Model:
             rng.normal(0, 0.5, (DIMENSION, len(subjects))).astype(np.float32),
             np.full(len(subjects), -2, np.float32),
         ]
-        return Model(subjects, vocabulary, params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params])
+        return Model(subjects, vocabulary, params)
 
 
 class Batch:
@@ -157,15 +155,16 @@ class Shard:
 
 
 def local_steps(model: Model, shard: Shard, steps: int = LOCAL_STEPS, rate: float = RATE) -> Model:
-    """A few steps of one shard from the shared parameters."""
-    params, first, second = ([a.copy() for a in x] for x in (model.params, model.first, model.second))
-    for k in range(model.steps + 1, model.steps + steps + 1):
-        batch = shard.batches[k % len(shard.batches)]
+    """A few steps of one shard from the shared parameters; the optimiser's moments last for the round."""
+    params = [a.copy() for a in model.params]
+    first, second = ([np.zeros_like(a) for a in params] for _ in range(2))
+    for k in range(1, steps + 1):
+        batch = shard.batches[(model.steps + k) % len(shard.batches)]
         for p, m, v, g in zip(params, first, second, batch.gradient(params), strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
-    return Model(model.subjects, model.vocabulary, params, first, second, model.steps + steps)
+    return Model(model.subjects, model.vocabulary, params, model.steps + steps)
 
 
 def averaged(parts: list[tuple[int, list[np.ndarray]]]) -> list[np.ndarray]:
@@ -248,20 +247,21 @@ def _count_tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _prepared: dict[tuple[str, int], Shard] = {}
 
 
-def _round(model, run: str):
+def _round(fixed, params, steps: int, run: str):
     def step(part: pd.DataFrame) -> pd.DataFrame:
-        m: Model = model.value
+        subjects, vocabulary = fixed.value
+        model = Model(subjects, vocabulary, params.value, steps)
         key = (run, int(part["shard"].iloc[0]))
         if key not in _prepared:
             if len(_prepared) >= SHARDS or any(k[0] != run for k in _prepared):
                 _prepared.clear()
             part = part.sort_values("doc_id")
-            targets = np.array(part["targets"].to_list(), np.float32).reshape(len(part), len(m.subjects))
-            _prepared[key] = Shard(part["text"].to_list(), targets, m.vocabulary)
+            targets = np.array(part["targets"].to_list(), np.float32).reshape(len(part), len(subjects))
+            _prepared[key] = Shard(part["text"].to_list(), targets, vocabulary)
         shard = _prepared[key]
-        done = local_steps(m, shard)
-        arrays = [*done.params, *done.first, *done.second]
-        return pd.DataFrame({"n": [shard.n], "arrays": [b"".join(a.astype("<f4").tobytes() for a in arrays)]})
+        done = local_steps(model, shard)
+        changes = [(new - old).astype("<f2").tobytes() for new, old in zip(done.params, model.params, strict=True)]
+        return pd.DataFrame({"n": [shard.n], "changes": [b"".join(changes)]})
 
     return step
 
@@ -273,20 +273,20 @@ def train(sample: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model
     top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(MAX_VOCABULARY).collect()
     model = Model.fresh(subjects, {r["token"]: k for k, r in enumerate(top)})
     run = uuid.uuid4().hex
+    fixed = spark.sparkContext.broadcast((subjects, model.vocabulary))
+    sizes = np.cumsum([a.size for a in model.params])[:-1]
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        rows = sample.groupBy("shard").applyInPandas(_round(shared, run), "n long, arrays binary").collect()  # SHARDS rows at most
-        shared.unpersist()
+        params = spark.sparkContext.broadcast(model.params)
+        rows = sample.groupBy("shard").applyInPandas(_round(fixed, params, model.steps, run), "n long, changes binary").collect()  # SHARDS rows at most
+        params.destroy()
         if not rows:
             break
-        like = [*model.params, *model.first, *model.second]
-        ends = np.cumsum([a.size for a in like])
         parts = []
         for r in rows:
-            flat = np.frombuffer(bytes(r["arrays"]), "<f4")
-            parts.append((r["n"], [x.reshape(a.shape) for x, a in zip(np.split(flat, ends[:-1]), like, strict=True)]))
-        mean = averaged(parts)
-        model = Model(subjects, model.vocabulary, mean[:3], mean[3:6], mean[6:], model.steps + LOCAL_STEPS)
+            flat = np.frombuffer(bytes(r["changes"]), "<f2").astype(np.float32)
+            parts.append((r["n"], [x.reshape(a.shape) for x, a in zip(np.split(flat, sizes), model.params, strict=True)]))
+        model = Model(subjects, model.vocabulary, [p + c for p, c in zip(model.params, averaged(parts), strict=True)], model.steps + LOCAL_STEPS)
+    fixed.destroy()
     return model
 
 
