@@ -244,30 +244,44 @@ def _count_tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
 
 
-_prepared: dict[tuple[str, int], Shard] = {}
+def in_shards(sample: DataFrame) -> DataFrame:
+    """The sample as a table with a file a shard, so that no round has to shuffle it."""
+    if hasattr(sample, "repartitionById"):
+        return staged(sample.repartitionById(SHARDS, F.col("shard")), "p9-labelled")
+    return staged(sample.repartition(SHARDS, "shard"), "p9-labelled")
+
+
+_prepared: dict[tuple[str, int, int], Shard] = {}
+
+
+def _shard(part: pd.DataFrame, run: str, n_subjects: int, vocabulary: dict[str, int]) -> Shard:
+    """A shard, kept by the worker for the later rounds of the same training."""
+    key = (run, int(part["shard"].iloc[0]), len(part))
+    if key not in _prepared:
+        if len(_prepared) >= SHARDS or any(k[0] != run for k in _prepared):
+            _prepared.clear()
+        part = part.sort_values("doc_id")
+        targets = np.array(part["targets"].to_list(), np.float32).reshape(len(part), n_subjects)
+        _prepared[key] = Shard(part["text"].to_list(), targets, vocabulary)
+    return _prepared[key]
 
 
 def _round(fixed, params, steps: int, run: str):
-    def step(part: pd.DataFrame) -> pd.DataFrame:
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
         subjects, vocabulary = fixed.value
-        model = Model(subjects, vocabulary, params.value, steps)
-        key = (run, int(part["shard"].iloc[0]))
-        if key not in _prepared:
-            if len(_prepared) >= SHARDS or any(k[0] != run for k in _prepared):
-                _prepared.clear()
-            part = part.sort_values("doc_id")
-            targets = np.array(part["targets"].to_list(), np.float32).reshape(len(part), len(subjects))
-            _prepared[key] = Shard(part["text"].to_list(), targets, vocabulary)
-        shard = _prepared[key]
-        done = local_steps(model, shard)
-        changes = [(new - old).astype("<f2").tobytes() for new, old in zip(done.params, model.params, strict=True)]
-        return pd.DataFrame({"n": [shard.n], "changes": [b"".join(changes)]})
+        for _, part in pd.concat(held).groupby("shard") if held else []:
+            shard = _shard(part, run, len(subjects), vocabulary)
+            before = params.value
+            done = local_steps(Model(subjects, vocabulary, before, steps), shard)
+            changes = [(new - old).astype("<f2").tobytes() for new, old in zip(done.params, before, strict=True)]
+            yield pd.DataFrame({"n": [shard.n], "changes": [b"".join(changes)]})
 
     return step
 
 
 def train(sample: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model:
-    """Train on a staged result of :func:`labelled`; a table without rows gives a model that finds nothing."""
+    """Train on a result of :func:`in_shards`; a table without rows gives a model that finds nothing."""
     spark = sample.sparkSession
     counts = sample.select("text").mapInPandas(_count_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(MAX_VOCABULARY).collect()
@@ -277,7 +291,7 @@ def train(sample: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model
     sizes = np.cumsum([a.size for a in model.params])[:-1]
     for _ in range(rounds):
         params = spark.sparkContext.broadcast(model.params)
-        rows = sample.groupBy("shard").applyInPandas(_round(fixed, params, model.steps, run), "n long, changes binary").collect()  # SHARDS rows at most
+        rows = sample.select("doc_id", "text", "targets", "shard").mapInPandas(_round(fixed, params, model.steps, run), "n long, changes binary").collect()  # a row a shard
         params.destroy()
         if not rows:
             break
@@ -324,14 +338,14 @@ def subject_names(subjects: DataFrame, most: int = 1000) -> list[str]:
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, subject, probability)`` of the subjects that a substantial share of a document is about."""
     names = subject_names(subjects)
-    sample = staged(labelled(docs, labels, names), "p9-labelled")
+    sample = in_shards(labelled(docs, labels, names))
     return score(docs, train(sample, names)).where(F.col("probability") >= threshold)
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame, subjects: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per subject: right, wrong and missed cases among labelled documents that training did not see."""
     names = subject_names(subjects)
-    sample = staged(labelled(docs, labels, names), "p9-labelled")
+    sample = in_shards(labelled(docs, labels, names))
     model = train(sample.where(~F.col("held_out")), names)
     rest = sample.where("held_out")
     truth = rest.select("doc_id", F.posexplode("targets").alias("k", "target")).withColumn("subject", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1))
