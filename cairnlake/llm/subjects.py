@@ -37,12 +37,17 @@ THRESHOLD = 0.35
 HELD_OUT = 5  # one labelled document in so many is for evaluation only
 _token = re.compile(r"[^\W\d_぀-ヿ一-鿿]+|[぀-ヿ一-鿿]+")
 
+_unspaced = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]").search
+
 
 def tokens(text: str | None) -> list[str]:
     """Lower-case words, and pairs of characters where there are no spaces between words."""
+    words = _token.findall((text or "").lower())
+    if not text or not _unspaced(text):
+        return words
     out: list[str] = []
-    for w in _token.findall((text or "").lower()):
-        if w[0] < "぀" or len(w) == 1:
+    for w in words:
+        if w[0] < "\u3040" or len(w) == 1:
             out.append(w)
         else:
             out.extend(w[i : i + 2] for i in range(len(w) - 1))
@@ -173,44 +178,81 @@ def averaged(parts: list[tuple[int, list[np.ndarray]]]) -> list[np.ndarray]:
     return [sum(n / total * a[k] for n, a in parts) for k in range(len(parts[0][1]))]
 
 
+class _Known(dict):
+    """Word -> its number among the scored words, given on demand."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class Scorer:
-    """Scores of texts: the mean over words of the words' own scores, which are kept."""
+    """Scores of texts: the mean over words and known pairs of their own scores, which are kept.
+
+    A batch is scored at once: words become numbers, pairs are looked up by the two numbers in a sorted array.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.subjects)), np.float32)
         self.table = model.params[0] @ model.params[1]
-
-    def _ids(self, words: list[str]) -> list[int]:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            got = word_rows(new, self.model.vocabulary).dot(self.table)
-            at = len(self.known)
-            while at + len(new) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at : at + len(new)] = got
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        return list(map(self.known.__getitem__, words))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Known()
+        self.scores = np.zeros((0, len(self.model.subjects)), np.float32)
+        both = [p for p in self.model.vocabulary if " " in p]
+        codes = [(self.known[a] << 32) + self.known[b] for a, b in (p.split(" ") for p in both)]
+        order = np.argsort(np.array(codes, np.int64)) if codes else np.zeros(0, np.int64)
+        self.pair_codes = np.array(codes, np.int64)[order]
+        self.pair_scores = word_rows(both, self.model.vocabulary).dot(self.table)[order]
+
+    def _learn(self) -> None:
+        if self.known.new:
+            got = word_rows(self.known.new, self.model.vocabulary).dot(self.table)
+            self.scores = np.concatenate([self.scores, got])
+            self.known.new = []
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities, one row a text; a text without words has zeros."""
         if len(self.known) > 500_000:
-            self.known = {}
-        vocabulary = self.model.vocabulary
-        ids, lengths = [], []
+            self._forget()
+        numbers: list[int] = []
+        ends = [0]
         for t in texts:
-            words = tokens(t)
-            words += [p for p in pairs(words) if p in vocabulary]
-            lengths.append(len(words))
-            ids += self._ids(words)
-        n = np.array(lengths, np.int64)
-        mean = Sparse(n, np.array(ids, np.int64), np.repeat(1 / np.maximum(n, 1), n).astype(np.float32), 0).dot(self.scores)
+            numbers.extend(map(self.known.__getitem__, tokens(t)))
+            ends.append(len(numbers))
+        self._learn()
+        ids = np.array(numbers, np.int64)
+        n_words = np.diff(ends)
+        sums = _sums(n_words, self.scores[ids])
+        n_pairs = np.zeros_like(n_words)
+        if len(ids) > 1 and len(self.pair_codes):
+            doc = np.repeat(np.arange(len(texts)), n_words)
+            code = (ids[:-1] << 32) + ids[1:]
+            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+            hit = (self.pair_codes[at] == code) & (doc[:-1] == doc[1:])
+            n_pairs = np.bincount(doc[:-1][hit], minlength=len(texts))
+            sums += _sums(n_pairs, self.pair_scores[at[hit]])
+        mean = sums / np.maximum(n_words + n_pairs, 1)[:, None]
         p = 1 / (1 + np.exp(-(mean + self.model.params[2])))
-        p[n == 0] = 0
+        p[n_words == 0] = 0
         return p
 
 
+def _sums(lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of these lengths."""
+    out = np.zeros((len(lengths), rows.shape[1]))
+    some = np.flatnonzero(lengths)
+    if len(some):
+        out[some] = np.add.reduceat(rows, (np.cumsum(lengths) - lengths)[some], dtype=np.float64)
+    return out
+
+
 # -- on Spark ------------------------------------------------------------------------------------------------------
 
 
