@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import problems, storage, trees
+from cairnlake.plans import activity, history, problems, storage, trees
 
-MODULES = (problems, storage, trees)
+MODULES = (problems, storage, trees, history, activity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
