@@ -46,9 +46,10 @@ def spikes(rolled: DataFrame, days: int, times: float) -> DataFrame:
 
 
 def moving(samples: DataFrame, by: str, n: int) -> DataFrame:
-    """(by, id, mean): the mean of the last n values up to each sample."""
+    """(by, id, mean): the mean of the last n values up to each sample, summed as whole thousandths."""
     w = Window.partitionBy(by).orderBy("ts", "id").rowsBetween(-(n - 1), 0)
-    return samples.select(by, "id", F.round(F.avg("value").over(w), 3).alias("mean"))
+    total = F.sum(F.round(F.col("value") * 1000).cast("long")).over(w)
+    return samples.select(by, "id", (total / (F.lit(1000.0) * F.count(F.lit(1)).over(w))).alias("mean"))
 
 
 def exponential(samples: DataFrame, by: str, alpha: float) -> DataFrame:

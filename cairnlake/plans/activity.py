@@ -186,13 +186,13 @@ SQL = {
     "alert_error_rate": sql("ev", "SELECT date_trunc('hour', ts) AS bucket, count(*) FILTER (outcome = 'failure') / count(*) AS rate FROM ev GROUP BY 1 HAVING rate > 0.3"),
     "alert_spike": sql("ev", "SELECT bucket, n, usual FROM (SELECT bucket, n, avg(n) OVER (ORDER BY bucket ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS n FROM ev GROUP BY 1)) WHERE n > 1.02 * usual"),
     "topk_slow": sql("ev", "SELECT id, value FROM ev ORDER BY value DESC, id LIMIT 10"),
-    "last_n_samples": sql("ev", "SELECT user_id, id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 3) AS mean FROM ev"),
+    "last_n_samples": sql("ev", "SELECT user_id, id, sum(round(value * 1000)::BIGINT) OVER w / (1000.0::DOUBLE * count(*) OVER w) AS mean FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"),
     "ema_bandwidth": sql("ev", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, id), lambda s, x: s + 0.1::DOUBLE * (x - s)), 6) AS ema FROM ev GROUP BY 1"),
     "cumulative_bandwidth": sql("ev", "SELECT user_id, id, round(sum(value) OVER w / nullif(date_diff('second', min(date_trunc('second', ts)) OVER w, date_trunc('second', ts)), 0), 6) AS rate FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)"),
     "transfer_stats": sql("ev", "SELECT user_id, count(*) AS chunks, round(sum(value), 4) AS bytes, round(sum(value) * 8 / nullif(date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) * 1e6::DOUBLE, 0), 12) AS mbps FROM ev GROUP BY 1"),
     "cache_hit_rates": sql("ev", "SELECT count(*) FILTER (event_type = 'view') / count(*) AS l1_rate, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) / count(*) AS overall_rate FROM ev"),
     "segment_start_times": _also("seg", _ST, "SELECT video, idx, start FROM st"),
-    "segment_at_time": _also("seg", _ST + ", pt AS (SELECT video, unnest([0, t // 3, t // 2, t]) AS "at" FROM (SELECT video, sum(duration)::BIGINT AS t FROM seg GROUP BY 1))", "SELECT video, "at", idx FROM pt JOIN st USING (video) WHERE "at" >= start AND "at" < start + duration"),
+    "segment_at_time": _also("seg", _ST + ", pt AS (SELECT video, unnest([0, t // 3, t // 2, t]) AS \"at\" FROM (SELECT video, sum(duration)::BIGINT AS t FROM seg GROUP BY 1))", "SELECT video, \"at\", idx FROM pt JOIN st USING (video) WHERE \"at\" >= start AND \"at\" < start + duration"),
     "segment_diff": sql("seg", "SELECT n.video, n.idx FROM (SELECT video, idx - CASE WHEN video % 2 = 0 THEN 1 ELSE 0 END AS idx, segment_id FROM seg WHERE idx > 0) n LEFT JOIN seg o USING (video, idx) WHERE n.segment_id IS DISTINCT FROM o.segment_id"),
     "track_duration": f"WITH {_CLIPS} SELECT project, track, max(start + out_point - in_point) AS duration, count(*) AS n_clips FROM cl GROUP BY 1, 2",
     "project_duration": f"WITH {_CLIPS} SELECT project, max(start + out_point - in_point) AS duration, count(*) AS n_clips FROM cl GROUP BY 1",
