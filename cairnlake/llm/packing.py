@@ -95,27 +95,31 @@ class _Packer:
             self.index_pairs()
         return None
 
-    def complement(self, length: int) -> list[int] | None:
+    def complement(self, length: int, parts: int) -> list[int] | None:
+        """``parts`` available lengths that exactly fill the room beside one item of ``length``."""
         gap = self.plan.capacity - length
         self.avail[length] -= 1
         try:
-            if self.avail[gap] > 0:
-                return [gap]
-            return self.pair(gap) or self.triple(gap)
+            if parts == 1:
+                return [gap] if self.avail[gap] > 0 else None
+            return self.pair(gap) if parts == 2 else self.triple(gap)
         finally:
             self.avail[length] += 1
 
     def run(self) -> Plan:
+        """Single complements for all lengths first, then pairs, then triples, so that small items are not used up where
+        one item would do; the rest best fit."""
         capacity = self.plan.capacity
         if self.avail[capacity]:
             self.open_bins([capacity], int(self.avail[capacity]))
-        for length in range(capacity - 1, 0, -1):
-            while self.avail[length] > 0:
-                rest = self.complement(length)
-                if rest is None:
-                    break
-                lengths = [length, *rest]
-                self.open_bins(lengths, min(int(self.avail[x]) // lengths.count(x) for x in lengths))
+        for parts in (1, 2, 3):
+            for length in range(capacity - 1, 0, -1):
+                while self.avail[length] > 0:
+                    rest = self.complement(length, parts)
+                    if rest is None:
+                        break
+                    lengths = [length, *rest]
+                    self.open_bins(lengths, min(int(self.avail[x]) // lengths.count(x) for x in lengths))
         self.best_fit()
         return self.plan
 
@@ -146,10 +150,21 @@ class _Packer:
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
-    """The plan for a histogram: ``counts[l]`` items of length l, 0 <= l <= capacity (length 0 is not planned)."""
+    """The plan for a histogram: ``counts[l]`` items of length l, 0 <= l <= capacity (length 0 is not planned).
+
+    Exact combinations, then best fit; where that needs over 0.5 % more than the least conceivable number of containers,
+    best fit alone is tried as well and the plan with fewer containers is taken.
+    """
     counts = np.asarray(counts).copy()
     counts[0] = 0
-    return _Packer(counts, capacity).run()
+    plan = _Packer(counts, capacity).run()
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    if plan.n_bins > 1.005 * least + 1:
+        # many long items without exact partners: using up the short ones in exact combinations can cost containers
+        other = _Packer(counts, capacity)
+        other.best_fit()
+        plan = min(plan, other.plan, key=lambda p: p.n_bins)
+    return plan
 
 
 def _assign(arrays: tuple[np.ndarray, ...], n_bins: int, names: list[str]):
