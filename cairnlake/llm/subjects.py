@@ -283,7 +283,8 @@ def _count_tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = tokens(t)
             counts.update(set(words))
             counts.update(set(pairs(words)))
-    yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
+    if counts:
+        yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
 
 
 def in_shards(sample: DataFrame) -> DataFrame:
