@@ -34,6 +34,20 @@ def reach(starts: DataFrame, links: DataFrame, first_parent: bool = False) -> Da
         jump = cut(jump.join(on, "parent").select("child", F.col("far").alias("parent")).distinct())
 
 
+def reach_by_steps(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """(start, node, steps) like :func:`reach`, one link a round from what is new: for graphs that branch so much that
+    jumps of 2^k links would lead everywhere (dependencies), where few rounds reach all there is."""
+    edges = cut(links.select("child", "parent").distinct())
+    front = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")).distinct())
+    got, n = front, 0
+    while front.limit(1).count():
+        n += 1
+        more = front.join(edges, front["node"] == edges["child"]).select("start", F.col("parent").alias("node")).distinct()
+        front = cut(more.join(got.select("start", "node"), ["start", "node"], "left_anti").withColumn("steps", F.lit(n).cast("long")))
+        got = got.unionByName(front)
+    return got
+
+
 def tips(commits: DataFrame) -> DataFrame:
     """(repo, hash): the latest commit of each repo (ties: the greater hash)."""
     return commits.groupBy("repo").agg(F.max_by("hash", F.struct("ts", "hash")).alias("hash"))
