@@ -19,6 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.operators.history import reach
 from cairnlake.operators.ranks import parts_for, running
 from cairnlake.session import cut
 
@@ -34,7 +35,11 @@ class Hierarchy:
 
     @cached_property
     def primary(self) -> DataFrame:
-        """(node, parent, unprocessed, is_root): the primary parent of each node, with every cycle cut at one node."""
+        """(node, parent, unprocessed, is_root): the primary parent of each node, with every cycle cut at one node.
+
+        Where the primary links lead into a cycle, but another parent leads out of it, that parent becomes the primary
+        one: only nodes that descend from no root at all are unprocessed.
+        """
         first = self.links.where("child <> parent").groupBy("child").agg(F.min(F.struct("ord", "parent"))["parent"].alias("parent"))
         any_parent = self.links.select("child").distinct().select(F.col("child").alias("node"), F.lit(False).alias("is_root"))
         start = (
@@ -43,6 +48,24 @@ class Hierarchy:
             .select("node", "parent", F.coalesce("is_root", F.lit(True)).alias("is_root"))
         )
         start = cut(start)
+        while True:
+            stuck = self._stuck(start)
+            if stuck is None:
+                return start.select("node", "parent", F.lit(False).alias("unprocessed"), "is_root")
+            at, over = stuck.select(F.col("node").alias("child")), stuck.select(F.col("node").alias("parent"))
+            better = self.links.join(at, "child", "left_semi").join(over, "parent", "left_anti").groupBy("child").agg(F.min(F.struct("ord", "parent"))["parent"].alias("better"))
+            better = cut(better.withColumnRenamed("child", "node"))
+            if not better.limit(1).count():
+                break
+            start = cut(start.join(better, "node", "left").select("node", F.coalesce("better", "parent").alias("parent"), "is_root"))
+        return cut(
+            start.join(stuck, "node", "left").select(
+                "node", F.when(F.col("low").isNull() | (F.col("low") != F.col("node")), F.col("parent")).alias("parent"), F.col("low").isNotNull().alias("unprocessed"), "is_root"
+            )
+        )
+
+    def _stuck(self, start: DataFrame) -> DataFrame | None:
+        """(node, low): nodes of ``start`` (node, parent) at or below a cycle of parents, with the least key above; None if there are none."""
         walk = start.select("node", F.col("parent").alias("up"), F.col("node").alias("low"))
         active = None
         while True:
@@ -57,14 +80,7 @@ class Hierarchy:
             if not seen["n"] or (seen["n"] == active and not seen["moved"]):
                 break
             active = seen["n"]
-        if not seen["n"]:
-            return start.select("node", "parent", F.lit(False).alias("unprocessed"), "is_root")
-        stuck = walk.where("up is not null").select("node", "low")
-        return cut(
-            start.join(stuck, "node", "left").select(
-                "node", F.when(F.col("low").isNull() | (F.col("low") != F.col("node")), F.col("parent")).alias("parent"), F.col("low").isNotNull().alias("unprocessed"), "is_root"
-            )
-        )
+        return cut(walk.where("up is not null").select("node", "low")) if seen["n"] else None
 
     @cached_property
     def extra(self) -> DataFrame:
@@ -124,7 +140,8 @@ class Hierarchy:
         """(node, path, depth, root, pre, size, n_descendants, unprocessed) of each node.
 
         ``path`` joins the names - ``names`` (node, name), else the node keys - from the root down.  Depth, root and path
-        are null where the primary links lead into a cycle.
+        are null where no root lies above; ``size`` is that of the range, ``n_descendants`` counts over all parents, without
+        the node itself.
         """
         named = self.nested.select("node", "parent")
         named = named.join(names.dropDuplicates(["node"]), "node", "left") if names is not None else named.withColumn("name", F.col("node"))
@@ -133,21 +150,54 @@ class Hierarchy:
             b = t.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
             t = cut(t.join(b, "up", "left").select("node", F.col("up2").alias("up"), F.concat_ws(separator, "path2", "path").alias("path")))
         known = lambda c: F.when(~F.col("unprocessed"), F.col(c)).alias({"top": "root"}.get(c, c))
-        return self.nested.join(t.select("node", "path"), "node").select(
-            "node", known("path"), known("depth"), known("top"), "pre", "size", (F.col("size") - 1).alias("n_descendants"), "unprocessed"
+        below = self.covers.groupBy("node").agg((F.sum(F.col("b") - F.col("a")) - 1).alias("n_descendants"))
+        return self.nested.join(t.select("node", "path"), "node").join(below, "node").select(
+            "node", known("path"), known("depth"), known("top"), "pre", "size", "n_descendants", "unprocessed"
         )
 
-    def descendants(self, of: DataFrame) -> DataFrame:
-        """(node, descendant): the nodes below each node of ``of`` (node) in the forest, from the nested-set ranges.
+    def _in_ranges(self, ranges: DataFrame, points: DataFrame) -> DataFrame:
+        """Rows of ``ranges`` (.., a, b) beside those of ``points`` (.., at) with a <= at < b.
+
+        They are matched in blocks of preorder numbers, the square root of all wide, so no block is compared with all nodes
+        and a range meets at most two blocks that it doesn't fill.
+        """
+        block = max(1, int(self.nested.count() ** 0.5))
+        number = lambda c: F.floor(F.expr(c) / block)
+        spread = ranges.withColumn("block", F.explode(F.sequence(number("a"), number("b - 1"))))
+        return spread.join(points.withColumn("block", number("at")), "block").where("at >= a and at < b").drop("block")
+
+    @cached_property
+    def covers(self) -> DataFrame:
+        """(node, a, b): disjoint ranges of preorder numbers that hold the node and all its descendants over any parents.
 
-        The ranges are matched in blocks of preorder numbers, so no block is compared with all nodes.
+        A portal and all below it descend from each parent outside the forest, from those of the portals that it reaches,
+        and from the forest's ancestors of these.  Ranges lie in each other or apart, so the outermost are kept.
         """
-        block = max(1, self.nested.count() // 64)
-        ranges = self.nested.join(of.select("node").distinct(), "node").where("size > 1")
-        first, last = F.floor((F.col("pre") + 1) / block), F.floor((F.col("pre") + F.col("size") - 1) / block)
-        ranges = ranges.select("node", F.col("pre").alias("a"), (F.col("pre") + F.col("size")).alias("b"), F.explode(F.sequence(first, last)).alias("block"))
-        points = self.nested.select(F.col("node").alias("descendant"), F.col("pre").alias("at"), F.floor(F.col("pre") / block).alias("block"))
-        return ranges.join(points, "block").where("at > a and at < b").select("node", "descendant")
+        own = self.nested.select("node", F.col("pre").alias("a"), (F.col("pre") + F.col("size")).alias("b"))
+        if not self.extra.limit(1).count():
+            return own
+        portals = self.extra.select(F.col("child").alias("start")).distinct()
+        ups = self._steps.where("target is not null").select(F.col("portal").alias("child"), F.col("target").alias("parent"))
+        over = self.extra.select(F.col("child").alias("through"), F.col("parent").alias("via"))
+        under = reach(portals, ups).select("start", F.col("node").alias("through")).join(over, "through").select(F.col("start").alias("node"), "via").distinct()
+        under = cut(_outermost(under.join(own, "node").drop("node"), "via"))
+        at = under.select("via").distinct().join(own.select(F.col("node").alias("via"), F.col("a").alias("at")), "via")
+        above = cut(self._in_ranges(own, at).select("node", "via"))
+        return cut(_outermost(above.join(under, "via").select("node", "a", "b").unionByName(own).distinct(), "node"))
+
+    def descendants(self, of: DataFrame) -> DataFrame:
+        """(node, descendant): the nodes below each node of ``of`` (node) in the forest, from the nested-set ranges."""
+        ranges = self.nested.select("node", F.col("pre").alias("a"), (F.col("pre") + F.col("size")).alias("b"))
+        return self._below(ranges, of)
+
+    def all_descendants(self, of: DataFrame) -> DataFrame:
+        """(node, descendant): the nodes below each node of ``of`` (node) over any parents, each once, without the node itself."""
+        return self._below(self.covers, of)
+
+    def _below(self, ranges: DataFrame, of: DataFrame) -> DataFrame:
+        ranges = ranges.join(of.select("node").distinct(), "node", "left_semi")
+        points = self.nested.select(F.col("node").alias("descendant"), F.col("pre").alias("at"))
+        return self._in_ranges(ranges, points).where("node <> descendant").select("node", "descendant")
 
     def subtree_sums(self, marks: DataFrame) -> DataFrame:
         """(node, total): for each node the sum of ``marks`` (node, mark) at and below it.
@@ -271,6 +321,12 @@ class Hierarchy:
         return own.unionByName(carried).groupBy("node", "root").agg(F.min("n_links").alias("n_links"))
 
 
+def _outermost(ranges: DataFrame, key: str) -> DataFrame:
+    """The ranges (key, a, b) that lie in no other of their key; ranges lie in each other or apart."""
+    w = Window.partitionBy(key).orderBy("a", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn("end", F.max("b").over(w)).where("end is null or b > end").select(key, "a", "b")
+
+
 def hierarchy(nodes: DataFrame, links: DataFrame) -> Hierarchy:
     """The hierarchy of ``nodes`` (node string) and ``links`` (child, parent, ord int).
 

@@ -72,15 +72,24 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, root: str) -> DataFrame:
-    """Path, depth, root and nested-set range of every commit and directory; directories have their names in the path."""
+    """Path, depth, root and nested-set range of every commit and directory, and all roots it descends from over any parents;
+    directories have their names in the path."""
     trees = table(spark, root, "tree_entries").where(is_directory(F.col("mode")))
     names = trees.select(F.concat(F.lit("t:"), norm_hash(F.col("hash"))).alias("node"), "name").where("node is not null").groupBy("node").agg(F.min("name").alias("name"))
-    paths = _graph(spark, root).with_paths(names)
+    graph = _graph(spark, root)
+    roots = graph.root_links().groupBy("node").agg(F.sort_array(F.collect_list(F.substring("root", 3, 1 << 20))).alias("roots"))
+    paths = graph.with_paths(names).join(roots, "node", "left")
     return paths.select(
-        _kind(), F.substring("node", 3, 1 << 20).alias("node"), F.regexp_replace("path", "[ct]:", "").alias("path"), "depth", F.substring("root", 3, 1 << 20).alias("root"), "pre", "size", "n_descendants", "unprocessed"
+        _kind(), F.substring("node", 3, 1 << 20).alias("node"), F.regexp_replace("path", "[ct]:", "").alias("path"), "depth", F.substring("root", 3, 1 << 20).alias("root"), F.coalesce("roots", F.array().cast("array<string>")).alias("roots"), "pre", "size", "n_descendants", "unprocessed"
     )
 
 
+def p2_descendants(spark: SparkSession, root: str) -> DataFrame:
+    """Every commit and directory beside each of its descendants over any parents."""
+    graph = _graph(spark, root)
+    return graph.all_descendants(graph.nodes).select(_kind(), F.substring("node", 3, 1 << 20).alias("node"), F.substring("descendant", 3, 1 << 20).alias("descendant"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return compaction.compact(table(spark, root, "object_files")).duplicates
 
@@ -90,7 +99,7 @@ def p4_files(spark: SparkSession, root: str) -> DataFrame:
     return compaction.compact(table(spark, root, "object_files")).files()
 
 
-QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p4_found": p4_found, "p4_files": p4_files, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
+QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_files": p4_files, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
 
 
 def norm_hash_sql(c: str) -> str:
