@@ -45,6 +45,10 @@ def _starts(s, d):
     return R.dependency_nodes(s, d).where("is_project and node % 50 = 0").select(F.col("node").alias("start"))
 
 
+def _projects(s, d):
+    return R.dependency_nodes(s, d).where("is_project").select(F.col("node").alias("start"))
+
+
 def _points(s, d):
     return R.segments(s, d).groupBy("video").agg(F.sum("duration").alias("t")).select("video", F.explode(F.array(F.lit(0).cast("long"), F.expr("t div 3"), F.expr("t div 2"), F.col("t"))).alias("at"))
 
@@ -115,6 +119,8 @@ QUERIES = {
     "clip_media_join": lambda s, d: _clips(s, d).join(R.dependency_nodes(s, d), F.col("clip") == F.col("node"), "left").select("project", "track", "clip", "is_tracked"),
     "dep_closure": lambda s, d: D.closure(_starts(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
     "dep_validate": lambda s, d: D.validate(_starts(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
+    "dep_closure_all": lambda s, d: D.in_blocks(D.closure, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
+    "dep_validate_all": lambda s, d: D.in_blocks(D.validate, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
     "dep_graph_stats": lambda s, d: D.graph_stats(R.dependency_nodes(s, d), R.dependency_edges(s, d)),
     "dep_neighbors": lambda s, d: D.dependents(R.dependency_nodes(s, d).where("not is_tracked").select("node"), R.dependency_edges(s, d)),
     "dep_untracked": lambda s, d: R.dependency_nodes(s, d).where("not is_tracked").select("node"),

@@ -1,4 +1,4 @@
-"""Whole jobs: answers over all parents, heads, projects and snapshots, against brute force."""
+"""Descendants over all parents, against brute force."""
 
 import random
 from collections import defaultdict
@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from cairnlake.operators.hierarchy import hierarchy
+from cairnlake.plans import problems
 
 
 def below_all(links):
@@ -50,8 +51,6 @@ def test_descendants_over_all_parents(spark, seed):
 
 
 def test_descendants_query(spark, root):
-    from cairnlake.plans import problems
-
     g = problems._graph(spark, root)
     links = {(r["child"], r["parent"]) for r in g.links.collect()}
     got = {(r["kind"][0] + ":" + r["node"], r["kind"][0] + ":" + r["descendant"]) for r in problems.p2_descendants(spark, root).collect()}
