@@ -55,6 +55,29 @@ def tips(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo").agg(F.max_by("hash", F.struct("ts", "hash")).alias("hash"))
 
 
+def heads(commits: DataFrame, links: DataFrame) -> DataFrame:
+    """(hash): every commit that is no other commit's parent, and of each cycle that nothing outside leads to the greatest hash."""
+    links = cut(links.where("child <> parent").select("child", "parent").distinct())
+    every = cut(commits.select("hash").where("hash is not null").distinct())
+    free = cut(every.join(links.select(F.col("parent").alias("hash")), "hash", "left_anti"))
+    rest = cut(every.join(marked(free, links), "hash", "left_anti"))
+    if not rest.limit(1).count():
+        return free
+    over = reach(rest.select(F.col("hash").alias("start")), links).select("start", "node").join(rest.select(F.col("hash").alias("node")), "node", "left_semi")
+    over = cut(over.select("start", "node"))
+    back = over.select(F.col("node").alias("start"), F.col("start").alias("node"))
+    later = over.join(back, ["start", "node"], "left_anti").select(F.col("node").alias("hash")).distinct()
+    last = over.groupBy(F.col("node").alias("hash")).agg(F.max("start").alias("last")).where("hash = last").select("hash")
+    return free.unionByName(last.join(later, "hash", "left_anti"))
+
+
+def marked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(hash): all that some of ``roots`` (hash) reach, themselves included."""
+    one = roots.select(F.lit("").alias("child"), F.col("hash").alias("parent"))
+    got = reach(roots.sparkSession.createDataFrame([("",)], "start string"), links.select("child", "parent").unionByName(one))
+    return got.select(F.col("node").alias("hash")).where("hash <> ''")
+
+
 def merge_bases(a_reach: DataFrame, b_reach: DataFrame, links: DataFrame, commits: DataFrame) -> DataFrame:
     """(pair, node): the best common ancestor of the starts of each pair.
 

@@ -17,6 +17,22 @@ def _reach(s, d, first=False):
     return op.reach(starts, R.commit_links(s, d, first_only=first))
 
 
+def _reach_heads(s, d, first=False):
+    starts = op.heads(R.commits(s, d), R.commit_links(s, d)).select(F.col("hash").alias("start"))
+    return op.reach(starts, R.commit_links(s, d, first_only=first))
+
+
+def _halfway(reached):
+    return reached.groupBy("start").agg(F.max("steps").alias("last")).join(reached, "start").where("steps = last div 2").select("start", "node")
+
+
+def _sweep(s, d):
+    """Chunks that neither the heads' histories nor the newest snapshots of the branches name."""
+    c, links = R.commits(s, d), R.commit_links(s, d)
+    live = op.marked(op.heads(c, links), links).select(F.col("hash").alias("node"))
+    return chk.unreachable_chunks(live, c, R.entries(s, d), R.stored_chunks(s, d), R.snapshots(s, d).where("back = 1").select("manifest"))
+
+
 def _tags(s, d):
     """Every commit whose hash begins with 0 or 1 is tagged."""
     return R.commits(s, d).select("hash").distinct().where("hash < '2'").select("hash", F.concat(F.lit("v"), F.substring("hash", 1, 8)).alias("name"))
@@ -71,6 +87,14 @@ QUERIES = {
     "fsck_counts": lambda s, d: chk.counts(R.commits(s, d), table(s, d, "manifests"), R.stored_chunks(s, d)),
     "reachability_gc": lambda s, d: chk.unreachable_chunks(_reach(s, d).select("node"), R.commits(s, d), R.entries(s, d), R.stored_chunks(s, d)),
     "gc_stats": lambda s, d: chk.unreachable_chunks(_reach(s, d).select("node"), R.commits(s, d), R.entries(s, d), R.stored_chunks(s, d)).agg(F.count(F.lit(1)).alias("unreferenced"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_to_free")),
+    "ancestors_all": lambda s, d: _reach_heads(s, d),
+    "log_chain_all": lambda s, d: _reach_heads(s, d, True).select("start", "node"),
+    "rev_walk_n_all": lambda s, d: _reach_heads(s, d, True).where("steps = 5").select("start", "node"),
+    "count_between_all": lambda s, d: _reach_heads(s, d, True).groupBy("start").agg(F.count(F.lit(1)).alias("n")),
+    "bisect_all": lambda s, d: _halfway(_reach_heads(s, d, True)),
+    "describe_all": lambda s, d: op.describe(_reach_heads(s, d), _tags(s, d)),
+    "reachability_gc_all": _sweep,
+    "gc_stats_all": lambda s, d: _sweep(s, d).agg(F.count(F.lit(1)).alias("unreferenced"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_to_free")),
     "reflog_capture": lambda s, d: op.ref_changes(R.snapshots(s, d).select(F.concat_ws(":", "repo", "branch").alias("ref"), F.col("nth").alias("seq"), F.col("manifest").alias("hash"))),
     "reflog_retention": lambda s, d: R.snapshots(s, d).where("back <= 5").select("repo", "branch", "manifest"),
     "fetch_ref_delta": lambda s, d: R.snapshots(s, d).where("back = 1").select("repo", "branch", F.col("manifest").alias("remote")).join(R.snapshots(s, d).where("back = 2").select("repo", "branch", F.col("manifest").alias("local")), ["repo", "branch"], "left").select("repo", "branch", F.when(F.col("local").isNull(), "new").otherwise("changed").alias("kind")),
