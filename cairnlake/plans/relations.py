@@ -39,6 +39,21 @@ def nth_entries(spark: SparkSession, root: str, nth: int) -> DataFrame:
     return entries(spark, root).join(snap, "manifest").select("repo", "branch", "path", "mode", "file_type", "size", "content_hash", "chunks")
 
 
+def window_entries(spark: SparkSession, root: str, width: int) -> list[DataFrame]:
+    """Entries like :func:`nth_entries` of the first to last snapshot of every ``width`` consecutive ones of a branch.
+
+    ``branch`` is a struct of the branch and the last one's seq (and number), so that each window is a group of its own.
+    """
+    snaps = snapshots(spark, root)
+    last = snaps.select("repo", "branch", F.col("nth").alias("at"), "seq")
+    rows, out = entries(spark, root), []
+    for k in range(width):
+        here = snaps.where(F.col("nth") > k).select("manifest", "repo", "branch", (F.col("nth") - k + width - 1).alias("at"))
+        here = here.join(last, ["repo", "branch", "at"]).select("manifest", F.struct("branch", "seq", "at").alias("branch"))
+        out.append(rows.join(here, "manifest").select("repo", "branch", "path", "mode", "file_type", "size", "content_hash", "chunks"))
+    return out
+
+
 def chunk_refs(of: DataFrame, *keys: str) -> DataFrame:
     """(keys, path, idx, chunk_hash, byte_offset, size): the chunks that entries name, in order."""
     out = of.select(*keys, "path", F.posexplode("chunks").alias("idx", "c"))

@@ -52,6 +52,45 @@ QUERIES = {
     "index_by_status": lambda s, d: op.status_staged(*_three(s, d)[:2]).where("status = 'modified'").select(*op.KEY),
 }
 
+
+def _all(width, f):
+    """``f`` over every ``width`` consecutive snapshots of each branch; seq is the last one's."""
+
+    def query(s, d):
+        out = f(*R.window_entries(s, d, width))
+        return out.select("repo", F.col("branch.branch").alias("branch"), F.col("branch.seq").alias("seq"), *[c for c in out.columns if c not in op.GROUP])
+
+    return query
+
+
+def _keys(tree):
+    return tree.select(*op.KEY)
+
+
+def _outcomes(*trees):
+    return op.three_way(*trees).groupBy("repo", "branch", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {
+    "commit_diff_all": _all(2, op.tree_diff),
+    "show_stat_all": _all(2, lambda o, n: op.change_counts(op.tree_diff(o, n))),
+    "status_staged_all": _all(2, op.status_staged),
+    "status_unstaged_all": _all(3, op.status_unstaged),
+    "status_missing_all": _all(3, op.status_missing),
+    "rename_detect_all": _all(2, op.renames),
+    "copy_not_rename_all": _all(2, op.copies),
+    "merge_conflicts_all": _all(3, lambda b, o, t: op.three_way(b, o, t).where(F.col("outcome").isin(*op.CONFLICTS)).select(*op.KEY, "outcome")),
+    "merge_manifests_all": _all(3, lambda b, o, t: op.merged_tree(op.three_way(b, o, t))),
+    "merge_outcomes_all": _all(3, _outcomes),
+    "cherry_pick_plan_all": _all(3, op.cherry_pick),
+    "rebase_delta_all": _all(2, lambda o, n: op.tree_diff(o, n).where("change <> 'D'")),
+    "manifest_sync_diff_all": _all(2, lambda o, n: op.sync_diff(n, o)),
+    "all_paths_union_all": _all(3, lambda b, o, t: _keys(b).union(_keys(o)).union(_keys(t)).distinct()),
+    "paths_in_all_all": _all(3, lambda b, o, t: _keys(b).intersect(_keys(o)).intersect(_keys(t))),
+    "clean_untracked_all": _all(2, lambda o, n: op.clean_list(n, o, IGNORE, ["vfx/**"])),
+    "index_by_status_all": _all(2, lambda o, n: op.status_staged(o, n).where("status = 'modified'").select(*op.KEY)),
+}
+
 _T = "entries snaps base ours theirs"
 _D = "SELECT repo, branch, path, CASE WHEN o.in_x IS NULL THEN 'A' WHEN n.in_x IS NULL THEN 'D' WHEN o.content_hash IS DISTINCT FROM n.content_hash THEN 'M' END AS change FROM (SELECT *, true AS in_x FROM {0}) o FULL JOIN (SELECT *, true AS in_x FROM {1}) n USING (repo, branch, path)"
 _STAGED = "SELECT * FROM (SELECT repo, branch, path, CASE WHEN h.manifest IS NULL THEN 'new' WHEN i.manifest IS NULL THEN 'deleted' WHEN h.content_hash IS DISTINCT FROM i.content_hash THEN 'modified' WHEN h.file_type IS DISTINCT FROM i.file_type THEN 'typechange' WHEN h.mode IS DISTINCT FROM i.mode THEN 'modechange' END AS status FROM base h FULL JOIN ours i USING (repo, branch, path)) WHERE status IS NOT NULL"
