@@ -25,20 +25,23 @@ def running(df: DataFrame, group: list[str], row_id: str, parts: int, **sums: Co
     """
     names = list(sums)
     salted = df.withColumns({"_part": F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int"), **{f"_v_{n}": c for n, c in sums.items()}})
-    by = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{k}") for k, g in enumerate(group)]
-    keys = [f"_g{k}" for k in range(len(group))] + [f"_n{k}" for k in range(len(group))] + ["_part"]
-    salted = salted.select("*", *by, *[F.col(g).isNull().alias(f"_n{k}") for k, g in enumerate(group)])
-    totals = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    before = Window.partitionBy(*keys[:-1]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = salted.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    starts = totals.select(
-        *keys, zero(F.sum("_rows").over(before)).alias("_b_rank"), *[zero(F.sum(f"_t_{n}").over(before)).alias(f"_b_{n}") for n in names]
-    )
-    w = Window.partitionBy(*keys).orderBy(row_id)
+    w = Window.partitionBy(*group, "_part").orderBy(row_id)
     rows_before = w.rowsBetween(Window.unboundedPreceding, -1)
     own = salted.withColumns(
         {"_k": F.row_number().over(w).cast("long") - 1, **{f"_s_{n}": zero(F.sum(f"_v_{n}").over(rows_before)) for n in names}}
     )
-    return own.join(starts, keys).select(
+    if parts == 1:  # nothing comes before a group's only part
+        return own.select(*df.columns, F.col("_k").alias("rank"), *[F.col(f"_s_{n}").alias(n) for n in names])
+    starts = totals.select(
+        *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)],
+        F.col("_part").alias("_p"),
+        zero(F.sum("_rows").over(before)).alias("_b_rank"),
+        *[zero(F.sum(f"_t_{n}").over(before)).alias(f"_b_{n}") for n in names],
+    )
+    same = [own[g].eqNullSafe(starts[f"_g{k}"]) for k, g in enumerate(group)]
+    return own.join(starts, [*same, own["_part"] == starts["_p"]]).select(
         *df.columns, (F.col("_k") + F.col("_b_rank")).alias("rank"), *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in names]
     )
