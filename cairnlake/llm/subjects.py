@@ -1,12 +1,13 @@
 """Subject areas of documents: averaged word and subword embeddings with independent logistic outputs.
 
-A document is the mean of the vectors of its words and word pairs; a word's vector is the mean of its own embedding and
-those of its character n-grams, a pair has an embedding of its own.  One logistic output a subject says whether a
-substantial share of the text is about it, so a document may have none, one or several.
-
-The model is trained on a bounded sample of labelled rows that lies in shards on the executors.  In each round every
-shard takes a few steps from the shared parameters, and the changes - the gradients it applied - are averaged over all
-shards.  Then every document is scored where it is read, without a shuffle.
+A document is the mean of the vectors of its words, each weighted with the square root of its count; a word's vector is
+the mean of its own embedding and those of its character n-grams.  Words and n-grams are hashed into buckets, so every
+word has a vector, seen in training or not.  One logistic output a subject says whether a substantial share of the text
+is about it, so a document may have none, one or several.
+
+The model is trained on a bounded sample of labelled rows.  In each step every partition computes the gradient of its
+share of the step's documents from the same parameters; the gradients are added up over all partitions and applied once,
+so the result does not depend on the number of partitions.  Then every document is scored where it is read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.session import staged
+from cairnlake.session import broadcast_if_small, shared_dir
 
 #: Bound of the labelled sample, in documents; the sample is taken by a hash of the id.
 MAX_LABELLED = 20_000
-#: Bound of the vocabulary of words and pairs (the most frequent in labelled documents), and how many n-gram vectors there are.
-MAX_VOCABULARY, GRAM_BUCKETS = 40_000, 1 << 14
-DIMENSION, SHARDS, ROUNDS, LOCAL_STEPS, RATE = 16, 6, 8, 20, 0.03
-#: A step sees a batch of a shard: at least so many documents, or a LOCAL_STEPS-th of the shard.
-BATCH = 150
-THRESHOLD = 0.35
+#: Embeddings of n-grams, then of whole words.
+GRAM_BUCKETS, WORD_BUCKETS = 1 << 14, 1 << 15
+#: Steps go round BATCHES parts of the sample; the rate falls linearly to a tenth.
+DIMENSION, BATCHES, STEPS, RATE = 16, 4, 60, 0.2
+#: Documents that a partition holds in training, at least.
+DOCS_A_SHARD = 250
+THRESHOLD = 0.2
 HELD_OUT = 5  # one labelled document in so many is for evaluation only
 _token = re.compile(r"[^\W\d_぀-ヿ一-鿿]+|[぀-ヿ一-鿿]+")
 
@@ -54,15 +55,11 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
-def pairs(words: list[str]) -> list[str]:
-    """Neighbouring words, joined."""
-    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-
-
-def grams(word: str) -> list[int]:
-    """The buckets of a word's character n-grams of 3 to 5."""
+def buckets(word: str) -> list[int]:
+    """The embeddings of a word: its character n-grams of 3 to 5, and itself."""
     x = f"<{word}>"
-    return [zlib.crc32(x[i : i + n].encode()) % GRAM_BUCKETS for n in (3, 4, 5) for i in range(len(x) - n + 1)]
+    ids = [zlib.crc32(x[i : i + n].encode()) % GRAM_BUCKETS for n in (3, 4, 5) for i in range(len(x) - n + 1)]
+    return [*ids, GRAM_BUCKETS + zlib.crc32(x.encode()) % WORD_BUCKETS]
 
 
 class Sparse:
@@ -85,97 +82,84 @@ class Sparse:
         return Sparse(np.bincount(self.columns, minlength=self.width), rows[order], self.values[order], len(self.lengths))
 
 
-def word_rows(words: list[str], vocabulary: dict[str, int]) -> Sparse:
-    """Which embeddings make up each word: its own after the n-gram buckets, if it is in the vocabulary."""
-    lengths, columns = [], []
-    for w in words:
-        ids = [] if " " in w else grams(w)
-        if w in vocabulary:
-            ids = [*ids, GRAM_BUCKETS + vocabulary[w]]
-        lengths.append(len(ids))
-        columns += ids
-    n = np.array(lengths, np.int64)
-    return Sparse(n, np.array(columns, np.int64), np.repeat(1 / np.maximum(n, 1), n).astype(np.float32), GRAM_BUCKETS + len(vocabulary))
+_known_buckets: dict[str, list[int]] = {}
+
+
+def word_rows(words: list[str]) -> Sparse:
+    """Which embeddings make up each word; those of words met before are kept by the worker."""
+    if len(_known_buckets) > 300_000:
+        _known_buckets.clear()
+    each = [_known_buckets.get(w) or _known_buckets.setdefault(w, buckets(w)) for w in words]
+    n = np.array([len(x) for x in each], np.int64)
+    columns = np.fromiter((i for x in each for i in x), np.int64, int(n.sum()))
+    return Sparse(n, columns, np.repeat(1 / np.maximum(n, 1), n).astype(np.float32), GRAM_BUCKETS + WORD_BUCKETS)
+
+
+def document_rows(numbers: np.ndarray, ends: np.ndarray, width: int) -> Sparse:
+    """The weights of the words in each document: ``numbers`` are those of its words, up to the next of ``ends``."""
+    n = len(ends) - 1
+    doc = np.repeat(np.arange(n), np.diff(ends))
+    code, count = np.unique(doc * width + numbers, return_counts=True)
+    doc, weight = code // max(width, 1), np.sqrt(count)
+    total = np.bincount(doc, weight, minlength=n)
+    return Sparse(np.bincount(doc, minlength=n), code % max(width, 1), (weight / total[doc]).astype(np.float32), width)
 
 
 @dataclass
 class Model:
-    """The parameters, and how many steps led to them."""
+    """The parameters: embeddings, outputs, biases."""
 
     subjects: list[str]
-    vocabulary: dict[str, int]
-    params: list[np.ndarray]  # embeddings, outputs, biases
-    steps: int = 0
+    params: list[np.ndarray]
 
     @staticmethod
-    def fresh(subjects: list[str], vocabulary: dict[str, int], seed: int = 7) -> Model:
+    def fresh(subjects: list[str], seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
-        width = GRAM_BUCKETS + len(vocabulary)
         params = [
-            rng.normal(0, 0.1, (width, DIMENSION)).astype(np.float32),
+            rng.normal(0, 0.02, (GRAM_BUCKETS + WORD_BUCKETS, DIMENSION)).astype(np.float32),
             rng.normal(0, 0.5, (DIMENSION, len(subjects))).astype(np.float32),
             np.full(len(subjects), -2, np.float32),
         ]
-        return Model(subjects, vocabulary, params)
+        return Model(subjects, params)
 
 
 class Batch:
     """Some labelled documents, prepared for gradients."""
 
-    def __init__(self, counts: list[Counter], targets: np.ndarray, vocabulary: dict[str, int]):
+    def __init__(self, texts: list[str | None], targets: np.ndarray):
         self.y = targets.astype(np.float32)
-        ids: dict[str, int] = {}
-        columns, values = [], []
-        for c in counts:
-            total = max(1, sum(c.values()))
-            columns += [ids.setdefault(w, len(ids)) for w in c]
-            values += [n / total for n in c.values()]
-        self.words = word_rows(list(ids), vocabulary)
-        lengths = np.array([len(c) for c in counts], np.int64)
-        self.docs = Sparse(lengths, np.array(columns, np.int64), np.array(values, np.float32), len(ids))
+        known: dict[str, int] = {}
+        numbers, ends = [], [0]
+        for t in texts:
+            numbers.extend(known.setdefault(w, len(known)) for w in tokens(t))
+            ends.append(len(numbers))
+        self.docs = document_rows(np.array(numbers, np.int64), np.array(ends), len(known))
+        words = word_rows(list(known))
+        self.touched, columns = np.unique(words.columns, return_inverse=True)  # the embeddings that occur
+        self.words = Sparse(words.lengths, columns, words.values, len(self.touched))
         self.words_t, self.docs_t = self.words.transposed(), self.docs.transposed()
 
     def gradient(self, params: list[np.ndarray]) -> list[np.ndarray]:
+        """Summed over the documents: of the embeddings that occur (``touched``), the outputs and the biases."""
         e, w, b = params
-        h = self.docs.dot(self.words.dot(e))
-        p = 1 / (1 + np.exp(-(h @ w + b)))
-        dz = (p - self.y) / max(1, len(self.y))
-        de = self.words_t.dot(self.docs_t.dot(dz @ w.T))
-        return [de, h.T @ dz + 1e-5 * w, dz.sum(0)]
+        h = self.docs.dot(self.words.dot(e[self.touched]))
+        dz = 1 / (1 + np.exp(-(h @ w + b))) - self.y
+        return [self.words_t.dot(self.docs_t.dot(dz @ w.T)), h.T @ dz, dz.sum(0)]
 
 
-class Shard:
-    """The labelled documents of one shard, in batches."""
+class Adam:
+    """The optimiser, which has its moments for the whole training."""
 
-    def __init__(self, texts: list[str | None], targets: np.ndarray, vocabulary: dict[str, int]):
-        self.n = len(texts)
-        counts = []
-        for t in texts:
-            words = tokens(t)
-            c = Counter(words)
-            c.update(p for p in pairs(words) if p in vocabulary)
-            counts.append(c)
-        k = min(LOCAL_STEPS, max(1, self.n // BATCH))
-        self.batches = [Batch(counts[i::k], targets[i::k], vocabulary) for i in range(k)] if self.n else []
-
-
-def local_steps(model: Model, shard: Shard, steps: int = LOCAL_STEPS, rate: float = RATE) -> Model:
-    """A few steps of one shard from the shared parameters; the optimiser's moments last for the round."""
-    params = [a.copy() for a in model.params]
-    first, second = ([np.zeros_like(a) for a in params] for _ in range(2))
-    for k in range(1, steps + 1):
-        batch = shard.batches[(model.steps + k) % len(shard.batches)]
-        for p, m, v, g in zip(params, first, second, batch.gradient(params), strict=True):
+    def __init__(self, params: list[np.ndarray]):
+        self.params, self.step = params, 0
+        self.first, self.second = ([np.zeros_like(a) for a in params] for _ in range(2))
+
+    def apply(self, gradients: list[np.ndarray], rate: float) -> None:
+        self.step += 1
+        for p, m, v, g in zip(self.params, self.first, self.second, gradients, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
-    return Model(model.subjects, model.vocabulary, params, model.steps + steps)
-
-
-def averaged(parts: list[tuple[int, list[np.ndarray]]]) -> list[np.ndarray]:
-    """The mean of the shards' arrays, weighted by their documents."""
-    total = sum(n for n, _ in parts)
-    return [sum(n / total * a[k] for n, a in parts) for k in range(len(parts[0][1]))]
+            p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
 
 
 class _Known(dict):
@@ -192,10 +176,7 @@ class _Known(dict):
 
 
 class Scorer:
-    """Scores of texts: the mean over words and known pairs of their own scores, which are kept.
-
-    A batch is scored at once: words become numbers, pairs are looked up by the two numbers in a sorted array.
-    """
+    """Scores of texts: the weighted means of the scores of their words, which are kept."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -205,17 +186,6 @@ class Scorer:
     def _forget(self) -> None:
         self.known = _Known()
         self.scores = np.zeros((0, len(self.model.subjects)), np.float32)
-        both = [p for p in self.model.vocabulary if " " in p]
-        codes = [(self.known[a] << 32) + self.known[b] for a, b in (p.split(" ") for p in both)]
-        order = np.argsort(np.array(codes, np.int64)) if codes else np.zeros(0, np.int64)
-        self.pair_codes = np.array(codes, np.int64)[order]
-        self.pair_scores = word_rows(both, self.model.vocabulary).dot(self.table)[order]
-
-    def _learn(self) -> None:
-        if self.known.new:
-            got = word_rows(self.known.new, self.model.vocabulary).dot(self.table)
-            self.scores = np.concatenate([self.scores, got])
-            self.known.new = []
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities, one row a text; a text without words has zeros."""
@@ -226,124 +196,103 @@ class Scorer:
         for t in texts:
             numbers.extend(map(self.known.__getitem__, tokens(t)))
             ends.append(len(numbers))
-        self._learn()
-        ids = np.array(numbers, np.int64)
-        n_words = np.diff(ends)
-        sums = _sums(n_words, self.scores[ids])
-        n_pairs = np.zeros_like(n_words)
-        if len(ids) > 1 and len(self.pair_codes):
-            doc = np.repeat(np.arange(len(texts)), n_words)
-            code = (ids[:-1] << 32) + ids[1:]
-            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
-            hit = (self.pair_codes[at] == code) & (doc[:-1] == doc[1:])
-            n_pairs = np.bincount(doc[:-1][hit], minlength=len(texts))
-            sums += _sums(n_pairs, self.pair_scores[at[hit]])
-        mean = sums / np.maximum(n_words + n_pairs, 1)[:, None]
-        p = 1 / (1 + np.exp(-(mean + self.model.params[2])))
-        p[n_words == 0] = 0
+        if self.known.new:
+            self.scores = np.concatenate([self.scores, word_rows(self.known.new).dot(self.table)])
+            self.known.new = []
+        docs = document_rows(np.array(numbers, np.int64), np.array(ends), len(self.known))
+        p = 1 / (1 + np.exp(-(docs.dot(self.scores) + self.model.params[2])))
+        p[docs.lengths == 0] = 0
         return p
 
 
-def _sums(lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows of these lengths."""
-    out = np.zeros((len(lengths), rows.shape[1]))
-    some = np.flatnonzero(lengths)
-    if len(some):
-        out[some] = np.add.reduceat(rows, (np.cumsum(lengths) - lengths)[some], dtype=np.float64)
-    return out
-
-
 # -- on Spark ------------------------------------------------------------------------------------------------------
 
 
 def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], limit: int = MAX_LABELLED) -> DataFrame:
-    """``(doc_id, text, targets, shard, held_out)`` of at most ``limit`` labelled documents, taken by a hash of the id.
+    """``(doc_id, text, targets, batch, held_out)`` of at most ``limit`` labelled documents, taken by a hash of the id.
 
     Labels are compared without case and outer white space; copies count once; labels that are none of the subjects say
-    that a document was looked at.  A document that comes twice counts once.
+    that a document was looked at.  A document that comes twice counts once, with its least text.  The sample is chosen
+    by ids alone, and the documents are filtered where they are read.
     """
     said = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject"))
-    each = said.groupBy("doc_id").agg(F.collect_set("subject").alias("said"))
+    each = said.groupBy("doc_id").agg(F.collect_set("subject").alias("said")).join(docs.select("doc_id"), "doc_id", "left_semi")
     wanted = F.array(*[F.lit(s.strip().lower()) for s in subjects])
-    texts = docs.select("doc_id", "text").join(each, "doc_id").dropDuplicates(["doc_id"])
     h = F.xxhash64("doc_id")
-    return texts.orderBy(h, "doc_id").limit(limit).select(
+    chosen = each.orderBy(h, "doc_id").limit(limit).select(
         "doc_id",
-        "text",
         F.transform(wanted, lambda s: F.array_contains("said", s).cast("float")).alias("targets"),
-        F.pmod(F.shiftright(h, 8), F.lit(SHARDS)).cast("int").alias("shard"),
+        F.pmod(F.shiftright(h, 8), F.lit(BATCHES)).cast("int").alias("batch"),
         (F.pmod(F.shiftright(h, 24), F.lit(HELD_OUT)) == 0).alias("held_out"),
     )
-
-
-def _count_tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-    for part in parts:
-        for t in part["text"]:
-            words = tokens(t)
-            counts.update(set(words))
-            counts.update(set(pairs(words)))
-    if counts:
-        yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
+    return docs.select("doc_id", "text").join(broadcast_if_small(chosen, limit), "doc_id")
 
 
 def in_shards(sample: DataFrame) -> DataFrame:
-    """The sample as a table with a file a shard, so that no round has to shuffle it."""
-    if hasattr(sample, "repartitionById"):
-        return staged(sample.repartitionById(SHARDS, F.col("shard")), "p9-labelled")
-    return staged(sample.repartition(SHARDS, "shard"), "p9-labelled")
+    """The sample as a table in the shared folder, a folder a batch, so that a step reads only its documents."""
+    spark = sample.sparkSession
+    rows = sample.count()
+    shards = max(1, min(spark.sparkContext.defaultParallelism, rows // (DOCS_A_SHARD * BATCHES)))
+    path = f"{shared_dir(spark)}/p9-labelled-{uuid.uuid4().hex}"
+    once = sample.repartition(shards, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in ("targets", "batch", "held_out")])
+    once.write.partitionBy("batch").parquet(path)
+    return spark.read.schema(once.schema).parquet(path)
 
 
-_prepared: dict[tuple[str, int, int], Shard] = {}
+_prepared: dict[tuple, Batch] = {}
 
 
-def _shard(part: pd.DataFrame, run: str, n_subjects: int, vocabulary: dict[str, int]) -> Shard:
-    """A shard, kept by the worker for the later rounds of the same training."""
-    key = (run, int(part["shard"].iloc[0]), len(part))
+def _batch(part: pd.DataFrame, run: str, n_subjects: int) -> Batch:
+    """A partition's documents, kept by the worker for the later rounds of the same training."""
+    part = part.sort_values("doc_id")
+    key = (run, int(part["batch"].iloc[0]), len(part), str(part["doc_id"].iloc[0]))
     if key not in _prepared:
-        if len(_prepared) >= SHARDS or any(k[0] != run for k in _prepared):
+        if len(_prepared) > 64 or any(k[0] != run for k in _prepared):
             _prepared.clear()
-        part = part.sort_values("doc_id")
         targets = np.array(part["targets"].to_list(), np.float32).reshape(len(part), n_subjects)
-        _prepared[key] = Shard(part["text"].to_list(), targets, vocabulary)
+        _prepared[key] = Batch(part["text"].to_list(), targets)
     return _prepared[key]
 
 
-def _round(fixed, params, steps: int, run: str):
+def _gradients(params, n_subjects: int, run: str):
     def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
-        subjects, vocabulary = fixed.value
-        for _, part in pd.concat(held).groupby("shard") if held else []:
-            shard = _shard(part, run, len(subjects), vocabulary)
-            before = params.value
-            done = local_steps(Model(subjects, vocabulary, before, steps), shard)
-            changes = [(new - old).astype("<f2").tobytes() for new, old in zip(done.params, before, strict=True)]
-            yield pd.DataFrame({"n": [shard.n], "changes": [b"".join(changes)]})
+        if held:
+            batch = _batch(pd.concat(held), run, n_subjects)
+            g = batch.gradient(params.value)
+            rest = np.concatenate([g[1].ravel(), g[2]]).astype("<f4")
+            yield pd.DataFrame({"n": [len(batch.y)], "touched": [batch.touched.astype("<i4").tobytes()], "embeddings": [g[0].astype("<f4").tobytes()], "rest": [rest.tobytes()]})
 
     return step
 
 
-def train(sample: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> Model:
-    """Train on a result of :func:`in_shards`; a table without rows gives a model that finds nothing."""
+def _summed(rows: list, params: list[np.ndarray]) -> list[np.ndarray]:
+    """The mean gradient over all documents of all partitions."""
+    out = [np.zeros_like(a) for a in params]
+    for r in rows:
+        out[0][np.frombuffer(r["touched"], "<i4")] += np.frombuffer(r["embeddings"], "<f4").reshape(-1, DIMENSION)
+        rest = np.frombuffer(r["rest"], "<f4")
+        out[1] += rest[: out[1].size].reshape(out[1].shape)
+        out[2] += rest[out[1].size :]
+    n = sum(r["n"] for r in rows)
+    return [a / n for a in out]
+
+
+def train(sample: DataFrame, subjects: list[str], steps: int = STEPS) -> Model:
+    """Train on a result of :func:`in_shards`; a table without rows gives a model that finds nothing.  A job a step, of
+    which each partition returns one gradient (bounded by the number of embeddings)."""
     spark = sample.sparkSession
-    counts = sample.select("text").mapInPandas(_count_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "token").limit(MAX_VOCABULARY).collect()
-    model = Model.fresh(subjects, {r["token"]: k for k, r in enumerate(top)})
-    run = uuid.uuid4().hex
-    fixed = spark.sparkContext.broadcast((subjects, model.vocabulary))
-    sizes = np.cumsum([a.size for a in model.params])[:-1]
-    for _ in range(rounds):
+    model, run = Model.fresh(subjects), uuid.uuid4().hex
+    adam = Adam(model.params)
+    for k in range(steps):
         params = spark.sparkContext.broadcast(model.params)
-        rows = sample.select("doc_id", "text", "targets", "shard").mapInPandas(_round(fixed, params, model.steps, run), "n long, changes binary").collect()  # a row a shard
+        part = sample.where(F.col("batch") == k % BATCHES).select("doc_id", "text", "targets", "batch")
+        rows = part.mapInPandas(_gradients(params, len(subjects), run), "n long, touched binary, embeddings binary, rest binary").collect()  # a row a partition
         params.destroy()
-        if not rows:
+        if rows:
+            adam.apply(_summed(rows, model.params), RATE * (1 - 0.9 * k / steps))
+        elif k >= BATCHES - 1 and not adam.step:
             break
-        parts = []
-        for r in rows:
-            flat = np.frombuffer(bytes(r["changes"]), "<f2").astype(np.float32)
-            parts.append((r["n"], [x.reshape(a.shape) for x, a in zip(np.split(flat, sizes), model.params, strict=True)]))
-        model = Model(subjects, model.vocabulary, [p + c for p, c in zip(model.params, averaged(parts), strict=True)], model.steps + LOCAL_STEPS)
-    fixed.destroy()
     return model
 
 
@@ -353,18 +302,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and wordless texts have probability 0.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.subjects, model.vocabulary, model.params))
+    shared = spark.sparkContext.broadcast((model.subjects, model.params))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subjects, vocabulary, params = shared.value
-        scorer, k = Scorer(Model(subjects, vocabulary, params)), len(subjects)
+        scorer, k = Scorer(Model(*shared.value)), len(shared.value[0])
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 p = scorer(part.column(1).to_pylist())
                 ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), k)))
-                names = pa.array(subjects * part.num_rows, pa.string())
+                names = pa.array(scorer.model.subjects * part.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays([ids, names, pa.array(p.reshape(-1).astype(np.float64))], ["doc_id", "subject", "probability"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, subject string, probability double")
