@@ -5,18 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File kinds by extension.
+#: File categories by extension; anything else is ``binary``.
 KINDS = {
-    "video": ("mp4", "mov", "mxf", "avi", "mkv", "m4v", "webm"),
-    "audio": ("wav", "mp3", "aac", "flac", "aif", "aiff", "m4a", "ogg"),
-    "image": ("png", "jpg", "jpeg", "tif", "tiff", "exr", "dpx", "psd", "gif"),
-    "project": ("prproj", "drp", "aep", "fcpxml", "blend", "aaf", "edl"),
-    "subtitle": ("srt", "vtt", "ass"),
-    "text": ("txt", "md", "json", "xml", "csv", "log", "yaml", "yml", "toml"),
-    "archive": ("zip", "tar", "gz", "7z", "rar"),
+    "video": "mp4 m4v mov mkv avi webm wmv flv mxf r3d braw ari dpx exr prores 3gp 3g2 m2ts mts vob ogv",
+    "audio": "mp3 wav aiff aif flac aac m4a ogg wma opus alac",
+    "image": "psd psb tiff tif raw cr2 cr3 nef arw dng orf rw2 png jpg jpeg gif bmp webp heic heif avif",
+    "model3d": "blend blend1 ma mb max c4d hip hiplc fbx obj dae gltf glb usd usda usdc usdz abc 3ds stl ply",
+    "project": "prproj drp aep nk hrox veg fcpxml xml otio edl aaf omf",
+    "game_asset": "uasset umap prefab unity asset mat controller anim meta",
+    "archive": "zip rar 7z tar gz bz2 xz lz4 zst pak pkg",
+    "text": "txt md json yaml yml toml ini cfg rs py js ts jsx tsx html css c cpp h hpp java kt swift go sh bash zsh ps1 bat cmd",
 }
-#: Kinds that can't be merged line by line and so need a lock.
-LOCKED = ("video", "audio", "image", "project", "archive")
+#: Categories that want a lock, and those whose files can be merged line by line.
+LOCKED, MERGEABLE = ("project", "model3d", "game_asset"), ("text", "project")
+#: Extensions of files stored as text.
+TEXT_EXTENSIONS = (
+    "txt md markdown rst adoc asciidoc org tex rtf json yaml yml toml xml csv tsv ini cfg conf properties env html htm xhtml css scss sass less styl svg "
+    "js mjs cjs jsx ts tsx mts cts vue svelte astro rs go c cpp cc cxx h hpp hxx hh zig nim v d py pyi pyw rb rbw pl pm t php php3 php4 php5 phtml lua tcl r rmd jl "
+    "sh bash zsh fish ksh csh tcsh ps1 psm1 psd1 bat cmd java kt kts scala sc groovy gradle clj cljs cljc edn cs csx fs fsx fsi vb vbs cshtml razor "
+    "hs lhs ml mli elm ex exs erl hrl sql psql mysql pgsql graphql gql proto protobuf thrift avsc avro fbs makefile cmake mak mk ninja dockerfile containerfile "
+    "vagrantfile rakefile gemfile podfile cartfile fastfile procfile lock gitignore gitattributes gitmodules mailmap editorconfig prettierrc eslintrc stylelintrc "
+    "babelrc swcrc browserslistrc tf tfvars hcl nomad sentinel workflow action license licence copying authors contributors changelog history news readme todo fixme hack"
+).split()
+#: Extensions of files stored as binary, beside those of the video, audio, image, model3d, game_asset and archive categories.
+BINARY_EXTENSIONS = (
+    "m2v mpg mpeg oga ape wv mka ac3 dts mid midi ico icns jxl pef srw raf ai eps indd sketch fig xd xcf kra cdr afdesign afphoto afpub hipnc nk nknc "
+    "lz lzma cab arj lzh ace iso dmg deb rpm apk ipa msi appx snap flatpak exe dll so dylib a lib o ko sys drv efi elf bin com app bundle "
+    "pdf doc docx xls xlsx ppt pptx odt ods odp odg pages numbers key epub mobi azw azw3 djvu ttf otf woff woff2 eot pfb pfm fon fnt "
+    "db sqlite sqlite3 mdb accdb frm myd myi ibd dbf upk wad bsp vpk gcf der p12 pfx jks keystore"
+).split()
+#: Extensions of files stored as both.
+HYBRID_EXTENSIONS = "prproj aep drp fcpxml otio".split()
+#: Whole names of files stored as text, where the extension says nothing.
+TEXT_NAMES = (
+    ".bashrc .bash_profile .bash_logout .zshrc .zprofile .zshenv .profile .login .logout .vimrc .gvimrc .exrc .nanorc .emacs .spacemacs .gitconfig .gitignore "
+    ".gitattributes .npmrc .yarnrc .nvmrc .python-version .ruby-version .node-version .tool-versions .htpasswd .htaccess .htgroups .dockerignore go.mod go.sum "
+    "gemfile pipfile .circleci jenkinsfile"
+).split()
+#: MIME types by extension.
+MIME = {
+    "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "webm": "video/webm", "wmv": "video/x-ms-wmv",
+    "flv": "video/x-flv", "mxf": "application/mxf", "3gp": "video/3gpp", "mp3": "audio/mpeg", "wav": "audio/wav", "flac": "audio/flac", "aac": "audio/aac", "ogg": "audio/ogg",
+    "m4a": "audio/mp4", "wma": "audio/x-ms-wma", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp",
+    "tiff": "image/tiff", "tif": "image/tiff", "svg": "image/svg+xml", "ico": "image/x-icon", "heic": "image/heic", "heif": "image/heic", "cr2": "image/x-canon-cr2",
+    "cr3": "image/x-canon-cr3", "nef": "image/x-nikon-nef", "arw": "image/x-sony-arw", "dng": "image/x-adobe-dng", "raf": "image/x-fuji-raf", "rw2": "image/x-panasonic-rw2",
+    "orf": "image/x-olympus-orf", "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "ppt": "application/vnd.ms-powerpoint",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "prproj": "application/x-premiere-project", "aep": "application/x-aftereffects-project",
+    "drp": "application/x-davinci-resolve-project", "fcpxml": "application/x-finalcut-project", "txt": "text/plain", "md": "text/markdown", "json": "application/json",
+    "xml": "application/xml", "html": "text/html", "htm": "text/html", "css": "text/css", "js": "application/javascript",
+}
 
 
 def choose(c: Column, values: dict[str, str], default: str | None = None) -> Column:
@@ -41,17 +79,47 @@ def parent(path: Column) -> Column:
 
 
 def file_kind(path: Column) -> Column:
-    """The kind of a file by its extension, else ``other``."""
-    return choose(extension(path), {e: k for k, es in KINDS.items() for e in es}, "other")
-
-
-def storage_of(path: Column, sample: Column) -> Column:
-    """``binary``, ``hybrid`` (project files) or ``text``: by extension, else by content: a NUL or mean lines of 500
-    characters and more mean binary."""
-    kind = file_kind(path)
-    lines = F.greatest(F.length(sample) - F.length(F.replace(sample, F.lit("\n"), F.lit(""))) + 1, F.lit(1))
-    looks = F.when(F.contains(sample, F.lit("\x00")), "binary").when(F.length(sample) / lines < 500, "text").otherwise("binary")
-    return F.when(kind == "project", "hybrid").when(kind.isin("video", "audio", "image", "archive"), "binary").when(kind.isin("text", "subtitle"), "text").otherwise(looks)
+    """The category of a file by its extension."""
+    return choose(extension(path), {e: k for k, es in KINDS.items() for e in es.split()}, "binary")
+
+
+def storage_by_name(path: Column) -> Column:
+    """``text``, ``binary`` or ``hybrid`` by extension or whole name; null where these say nothing."""
+    by = {e: "binary" for k in ("video", "audio", "image", "model3d", "game_asset", "archive") for e in KINDS[k].split()}
+    by.pop("meta")  # stored by its content
+    by |= dict.fromkeys(BINARY_EXTENSIONS, "binary") | dict.fromkeys(TEXT_EXTENSIONS, "text") | dict.fromkeys(HYBRID_EXTENSIONS, "hybrid")
+    return F.coalesce(choose(extension(path), by), choose(F.lower(F.substring_index(path, "/", -1)), dict.fromkeys(TEXT_NAMES, "text")))
+
+
+def storage_of(path: Column, data: Column) -> Column:
+    """How a file is stored: by its name, else by its content (binary): empty means text, a NUL in the first 8 KiB or
+    bytes that are not UTF-8 mean binary, lines of less than 500 bytes on average text; unknown content means binary."""
+    content = data.cast("binary")
+    text = data.cast("string")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    ends = F.size(F.regexp_extract_all(text, F.lit(r"(\r?\n)"))) + F.size(F.regexp_extract_all(text, F.lit(r"(\r\n)")))
+    mean = F.floor((F.octet_length(content) - ends) / F.greatest(lines, F.lit(1)))
+    looks = (
+        F.when(content.isNull(), "binary")
+        .when(F.octet_length(content) == 0, "text")
+        .when(F.contains(F.substring(content, 1, 8192), F.unhex(F.lit("00"))), "binary")
+        .when(F.is_valid_utf8(content.cast("string")) & (mean < 500), "text")
+        .otherwise("binary")
+    )
+    return F.coalesce(storage_by_name(path), looks)
+
+
+def mime_type(path: Column) -> Column:
+    """The MIME type by extension."""
+    return choose(extension(path), MIME, "application/octet-stream")
+
+
+def content_type(mime: Column) -> Column:
+    """video, audio, photo, text, project or file, by the MIME type."""
+    out = F.when(mime.contains("project"), "project").otherwise("file")
+    for prefix, name in (("text/", "text"), ("image/", "photo"), ("audio/", "audio"), ("video/", "video")):
+        out = F.when(mime.startswith(prefix), name).otherwise(out)
+    return out
 
 
 def short_hash(h: Column, n: int = 8) -> Column:
@@ -123,9 +191,13 @@ def shifted_offsets(offsets: Column, delta: Column, limit: int = (1 << 32) - 1)
 
 
 def chunk_size_for(mbps: Column, latency_ms: Column) -> Column:
-    """Mean chunk size in KiB for a link: larger on fast links, halved above 100 ms."""
-    base = F.when(mbps >= 1000, 4096).when(mbps >= 100, 1024).when(mbps >= 10, 256).otherwise(64)
-    return F.when(latency_ms > 100, (base / 2).cast("int")).otherwise(base)
+    """Mean chunk size in bytes for a link: 8 MiB above a gigabit, 2 MiB above 100 megabits, else 1 MiB below 50 ms, else 256 KiB."""
+    return F.when(mbps > 1000, 8 << 20).when(mbps > 100, 2 << 20).when(latency_ms < 50, 1 << 20).otherwise(256 << 10)
+
+
+def chunk_bounds(mean: Column) -> Column:
+    """struct(least, most) around a mean chunk size: a quarter, but 64 KiB, and four times it, but 32 MiB."""
+    return F.struct(F.greatest(F.floor(mean / 4).cast("long"), F.lit(64 << 10)).alias("least"), F.least((mean * 4).cast("long"), F.lit(32 << 20)).alias("most"))
 
 
 def bloom_parameters(n: Column, p: float) -> Column:

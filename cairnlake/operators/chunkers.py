@@ -1,6 +1,7 @@
-"""Chunkers of binary data, as table-generating Arrow functions: fixed, gear (content-defined), rolling, keyed.
+"""Chunkers of binary data, as table-generating Arrow functions: fixed, normalized, gear, rolling, keyed, local maximum.
 
 Every chunker gives (key, idx, start, size, hash).  Cuts lie between ``least`` and ``most`` bytes after the last one.
+Hashes are taken in overlapping blocks, so an item of any length needs a few MB beside itself.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Cutter = Callable[[bytes], list[int]]
 
@@ -27,6 +29,19 @@ def _window_hash(data: bytes, width: int, table: np.ndarray, factor: int) -> np.
     return h
 
 
+_BLOCK = 1 << 20
+
+
+def marks(data: bytes, width: int, table: np.ndarray, factor: int, test: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The ends (1..len) of the windows of ``width`` bytes whose hash passes ``test``."""
+    out = []
+    for at in range(0, len(data), _BLOCK):
+        low = max(0, at - width + 1)
+        h = _window_hash(data[low : at + _BLOCK], width, table, factor)[at - low :]
+        out.append(np.flatnonzero(test(h)) + at + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def cut_marks(n: int, marks: np.ndarray, least: int, most: int) -> list[int]:
     """Ends of chunks: the first mark at least ``least`` after the last end, ``most`` at the latest."""
     out, end = [], 0
@@ -44,11 +59,63 @@ def fixed(size: int = 1 << 20) -> Cutter:
     return lambda data: [min(k + size, len(data)) for k in range(0, len(data), size)]
 
 
+def _gear_table(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64)
+
+
 def gear(least: int, mean: int, most: int, seed: int = 1) -> Cutter:
     """Content-defined: the hash of the last 32 bytes has log2(mean) zero bits on top."""
-    table = np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64)
+    table = _gear_table(seed)
     shift = np.uint64(64 - max(1, int(mean).bit_length() - 1))
-    return lambda data: cut_marks(len(data), np.flatnonzero(_window_hash(data, 32, table, 2) >> shift == 0) + 1, least, most)
+    return lambda data: cut_marks(len(data), marks(data, 32, table, 2, lambda h: h >> shift == 0), least, most)
+
+
+def normalized(least: int, mean: int, most: int, seed: int = 1) -> Cutter:
+    """Content-defined with normalised sizes, the chunker of the storage: up to the mean a cut needs one zero bit more than
+    log2(mean) on top of the hash, beyond it one bit less, so that most chunks have about the mean size.  Data of at most
+    ``least`` bytes is one chunk."""
+    table, bits = _gear_table(seed), max(2, int(mean).bit_length() - 1)
+    few, many = np.uint64(64 - bits + 1), np.uint64(64 - bits - 1)
+
+    def cut(data: bytes) -> list[int]:
+        n, end, out = len(data), 0, []
+        loose = marks(data, 32, table, 2, lambda h: h >> few == 0)
+        strict = marks(data, 32, table, 2, lambda h: h >> many == 0)
+        while n - end > least:
+            k = np.searchsorted(strict, end + least)
+            if k < len(strict) and strict[k] < end + mean:
+                end = int(strict[k])
+            else:
+                k = np.searchsorted(loose, end + max(mean, least))
+                end = min(int(loose[k]) if k < len(loose) else n, end + most, n)
+            out.append(end)
+        return [*out, n] if end < n else out
+
+    return cut
+
+
+#: Least, mean and greatest chunk size in KiB by preset.
+PRESETS = {"default": (16, 64, 256), "small": (1, 4, 16), "media": (64, 256, 1024), "project": (4, 16, 64), "max_dedup": (2, 8, 32), "fast": (256, 1024, 4096)}
+#: The preset of a file category; default for the others.
+KIND_PRESETS = {"video": "media", "audio": "media", "image": "media", "model3d": "media", "project": "project", "text": "project", "archive": "fast"}
+
+
+def preset(name: str) -> Cutter:
+    """The normalised chunker of a preset."""
+    return normalized(*(k << 10 for k in PRESETS[name]))
+
+
+def preset_for_size(size: Column) -> Column:
+    """The preset for a file of so many bytes: project up to 64 KiB, default up to 10 MiB, then media."""
+    return F.when(size <= 65_536, "project").when(size <= 10_485_760, "default").when(size.isNotNull(), "media")
+
+
+def preset_for_kind(kind: Column) -> Column:
+    """The preset for a file category."""
+    out = F.lit("default")
+    for k, name in KIND_PRESETS.items():
+        out = F.when(kind == k, name).otherwise(out)
+    return out
 
 
 def rolling(least: int, mean: int, most: int) -> Cutter:
@@ -57,8 +124,8 @@ def rolling(least: int, mean: int, most: int) -> Cutter:
 
     def cut(data: bytes) -> list[int]:
         with np.errstate(over="ignore"):
-            h = _window_hash(data, 64, table, 31) * np.uint64(0x9E3779B97F4A7C15)
-        return cut_marks(len(data), np.flatnonzero((h >> np.uint64(32)) % np.uint64(mean) == 0) + 1, least, most)
+            at = marks(data, 64, table, 31, lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(mean) == 0)
+        return cut_marks(len(data), at, least, most)
 
     return cut
 
@@ -86,6 +153,7 @@ def local_maximum(width: int, most: int) -> Cutter:
 #: Chunkers by name with the usual sizes of small files.
 REGISTRY: dict[str, Cutter] = {
     "fixed": fixed(256),
+    "normalized": normalized(64, 256, 1024),
     "gear": gear(64, 256, 1024),
     "rolling": rolling(64, 256, 1024),
     "keyed": keyed(b"repository", 64, 256, 1024),

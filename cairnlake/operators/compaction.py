@@ -2,18 +2,21 @@
 
 1. The files are listed once into a frozen manifest (id, key, digest, size) in the shared folder.
 2. Files holding the same record - equal key and data - are reduced to the one with the least id.
-3. Bins are planned first-fit decreasing.  Sizes are counted in units of 1/1024 of the target, so the plan is made on a
-   histogram of at most 1,024 counts; files below one unit ("dust", the last in decreasing order) fill the room left in
-   bin order by running sums.  Ranks and running sums are computed by many tasks.
-4. Each bin is written by one task into a staging folder.
-5. Row counts and checksums of what was written are compared with the manifest, bin by bin.
-6. One rename of the staging folder commits; a reader sees all of the files or none.
+3. Bins are planned first-fit decreasing.  Sizes are rounded up to classes that grow by a thirty-second, so the plan is
+   made on a histogram of some 500 counts whatever the number of files; a file's bin follows from its rank in its class.
+4. Each bin is written by one task into one file; a folder holds the files of 10,000 bins.
+5. Row counts and checksums of what was written are compared with the plan, bin by bin, and with what the listing says
+   of the records, which knows nothing of the plan.
+6. A commit file that names all files is created last, in one step.  Readers go by it (:func:`read_compacted`), so they
+   see all of the files or none.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +27,16 @@ from pyspark.sql import types as T
 
 from cairnlake.functions.keys import norm_hash
 from cairnlake.operators.ranks import parts_for, running
-from cairnlake.session import shared_dir, staged
+from cairnlake.session import delete, drop, shared_dir, staged
 
-TARGET_BYTES = 32 << 20
-UNITS = 1024
+TARGET_BYTES = 256 << 20
 #: Bytes that a record takes beside its data: key and id.
 OVERHEAD = 72
-MAX_WRITERS = 20_000
+#: Bins, and so files, in one folder; also the most tasks that write.
+BINS_A_FOLDER = 10_000
+COMMIT = "_committed"
+#: Where the size classes begin, in bytes, and how they grow.
+_LEAST, _GROWTH = 64, 33 / 32
 _KEY = 1 << 44
 
 
@@ -38,21 +44,36 @@ class VerificationError(RuntimeError):
     """What was written differs from the manifest."""
 
 
+def size_classes(target: int) -> list[int]:
+    """The greatest size of each class, class 0 having none; the last class ends at ``target``."""
+    n = max(0, math.ceil(math.log(target / _LEAST) / math.log(_GROWTH))) if target > _LEAST else 0
+    return [0, *[min(target, int(_LEAST * _GROWTH**k) + 2) for k in range(n)], target]
+
+
+def class_of(weight: Column, target: int) -> Column:
+    """The size class of a weight in bytes; one more than there are above ``target``."""
+    last = len(size_classes(target)) - 1
+    k = F.ceil(F.ln(F.greatest(weight, F.lit(1)) / float(_LEAST)) / math.log(_GROWTH))
+    return F.when(weight > target, last + 1).otherwise(F.least(F.greatest(k, F.lit(0)) + 1, F.lit(last)))
+
+
 @dataclass
 class BinPlan:
-    """Where the files of each size class go; class 0 is dust."""
+    """Where the files of each size class go."""
 
     target: int
     n_bins: int
     classes: list[tuple[int, int, int, int, int]]  # class, first rank, files, first bin, files a bin
-    dust: list[tuple[int, int, int]]  # bytes of dust before, first bin, room a bin (the last row goes on for ever)
 
 
-def plan_bins(histogram: np.ndarray, target: int, units: int = UNITS) -> BinPlan:
-    """First-fit decreasing on a histogram: ``histogram[c]`` files of c units; the last class is anything above the target."""
+def plan_bins(histogram: np.ndarray, target: int, units: int, sizes: Sequence[int] | None = None) -> BinPlan:
+    """First-fit decreasing on a histogram: ``histogram[c]`` files of ``sizes[c]`` (c, if not given) for classes 1 to ``units``;
+    ``units + 1`` is anything above the target."""
+    sizes = list(range(units + 1)) if sizes is None else sizes
+    capacity = sizes[units]
     left = [int(x) for x in histogram]
     rows, n_bins = [], 0
-    groups: list[list[int]] = []  # first bin, bins, units of room; in the order the bins were opened
+    groups: list[list[int]] = []  # first bin, bins, room; in the order the bins were opened
     used = [0] * len(left)
 
     def place(c: int, n: int, first: int, each: int) -> None:
@@ -69,7 +90,7 @@ def plan_bins(histogram: np.ndarray, target: int, units: int = UNITS) -> BinPlan
         k = 0
         while left[c] and k < len(groups):
             first, n, room = groups[k]
-            each = room // c
+            each = room // sizes[c]
             if not each:
                 k += 1
                 continue
@@ -77,148 +98,219 @@ def plan_bins(histogram: np.ndarray, target: int, units: int = UNITS) -> BinPlan
             split = []
             if full:
                 place(c, full * each, first, each)
-                split.append([first, full, room - each * c])
+                split.append([first, full, room - each * sizes[c]])
             if full < n:
                 some = left[c]
                 if some:
                     place(c, some, first + full, each)
-                    split.append([first + full, 1, room - some * c])
+                    split.append([first + full, 1, room - some * sizes[c]])
                     full += 1
                 if full < n:
                     split.append([first + full, n - full, room])
             groups[k : k + 1] = split
             k += 1
         if left[c]:
-            each = units // c
+            each = capacity // sizes[c]
             full, rest = divmod(left[c], each)
             if full:
                 place(c, full * each, n_bins, each)
-                groups.append([n_bins, full, units - each * c])
+                groups.append([n_bins, full, capacity - each * sizes[c]])
                 n_bins += full
             if rest:
                 place(c, rest, n_bins, rest)
-                groups.append([n_bins, 1, units - rest * c])
+                groups.append([n_bins, 1, capacity - rest * sizes[c]])
                 n_bins += 1
-    unit = max(1, target // units)
-    dust, before = [], 0
-    for first, n, room in groups:
-        if room > 1:  # a file at the end of the room may reach one unit beyond it
-            dust.append((before, first, (room - 1) * unit))
-            before += n * (room - 1) * unit
-    dust.append((before, n_bins, max(1, target - unit)))
-    return BinPlan(target, n_bins, rows, dust)
+    return BinPlan(target, n_bins, rows)
 
 
 def _to_bins(plan: BinPlan):
+    """(size_class, rank, ...) -> (..., bin)."""
     by_class = np.array(sorted(plan.classes), np.int64).reshape(-1, 5)
     keys = by_class[:, 0] * _KEY + by_class[:, 1]
-    dust = np.array(plan.dust, np.int64).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size_class, rank, before = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            k = np.searchsorted(dust[:, 0], before, "right") - 1
-            bins = dust[k, 1] + (before - dust[k, 0]) // dust[k, 2]
-            some = size_class > 0
-            if some.any():
-                k = np.searchsorted(keys, size_class[some] * _KEY + rank[some], "right") - 1
-                bins[some] = by_class[k, 3] + (rank[some] - by_class[k, 1]) // by_class[k, 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins)], ["file_id", "bin"])
+            size_class, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            k = np.searchsorted(keys, size_class * _KEY + rank, "right") - 1
+            bins = by_class[k, 3] + (rank - by_class[k, 1]) // by_class[k, 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(bins)], [*batch.schema.names[2:], "bin"])
 
     return run
 
 
-def _check(key: Column, digest: Column) -> Column:
+def _check(*of: Column) -> Column:
     """A checksum of a record that can be added up."""
-    return F.pmod(F.xxhash64("file_id", key, digest), F.lit((1 << 40) - 1))
+    return F.pmod(F.xxhash64(*of), F.lit((1 << 40) - 1))
+
+
+_RECORD = ["file_id", "key", "digest"]
 
 
 @dataclass
 class Compaction:
-    """A planned, and perhaps committed, compaction."""
+    """A planned, and perhaps committed, compaction.
+
+    ``manifest`` and ``assigned`` have (file_id, key, digest, n) of what was listed and of what is kept, the latter with ``bin``.
+    """
 
     source: DataFrame
     manifest: DataFrame
     assigned: DataFrame
+    target: int
     path: str | None = None
 
     @property
     def duplicates(self) -> DataFrame:
         """(file_id) of the listed files whose record another file with a smaller id holds."""
-        return self.manifest.join(self.assigned, "file_id", "left_anti").select("file_id").distinct()
+        whole = self.manifest.where("key is not null and digest is not null")
+        return whole.join(self.assigned.select(*_RECORD), _RECORD, "left_anti").select("file_id").distinct()
 
     def files(self) -> DataFrame:
         """(bin, n_records, n_bytes) of the written files."""
-        written = self.source.sparkSession.read.parquet(self.path)
+        written = read_compacted(self.source.sparkSession, self.path)
         return written.groupBy("bin").agg(F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n_bytes"))
 
+    def discard(self) -> None:
+        """Delete what was written at ``path``; the plan stays."""
+        delete(self.source.sparkSession, self.path)
+
 
 def plan_compaction(files: DataFrame, target_bytes: int = TARGET_BYTES) -> Compaction:
     """Freeze the list of ``files`` (file_id, hash, data) and plan the bins.
 
     A record is a hash in normal form with its data.  Files without hash or data are records of their own.  A listed row
-    that comes twice is one file.  Extra columns are not carried over; an empty list gives an empty plan.
+    that comes twice is one file; rows that share a file_id but differ in hash or data are different files.  Extra
+    columns are not carried over; an empty list gives an empty plan.
     """
     digest = F.sha2("data", 256)
     listed = files.select("file_id", norm_hash(F.col("hash")).alias("key"), digest.alias("digest"), F.octet_length("data").cast("long").alias("n"))
     manifest = staged(listed.distinct(), "manifest")
     whole = F.col("key").isNotNull() & F.col("digest").isNotNull()
-    keepers = manifest.where(whole).groupBy("key", "digest").agg(F.min("file_id").alias("file_id")).select("file_id")
-    kept = manifest.where(whole).join(keepers, "file_id", "left_semi").unionByName(manifest.where(~whole))
-    unit = max(1, target_bytes // UNITS)
+    keepers = manifest.where(whole).groupBy("key", "digest").agg(F.min("file_id").alias("file_id"), F.max("n").alias("n"))
+    kept = keepers.unionByName(manifest.where(~whole))
+    sizes = size_classes(target_bytes)
+    units = len(sizes) - 1
     weight = F.coalesce(F.col("n"), F.lit(0)) + F.lit(OVERHEAD)
-    units = F.least(F.ceil(weight / unit), F.lit(UNITS + 1)).cast("long")
-    sized = kept.select("file_id", F.when(weight < unit, F.lit(0).cast("long")).otherwise(units).alias("size_class"), weight.alias("weight"))
-    histogram = np.zeros(UNITS + 2, np.int64)
-    for row in sized.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect():  # at most UNITS + 2 rows
+    sized = staged(kept.select(class_of(weight, target_bytes).cast("long").alias("size_class"), *_RECORD, "n"), "kept")
+    histogram = np.zeros(units + 2, np.int64)
+    for row in sized.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a class
         histogram[row["size_class"]] = row["n"]
-    ranked = running(sized, ["size_class"], "file_id", parts_for(int(histogram.sum())), before=F.col("weight"))
-    schema = T.StructType([sized.schema["file_id"], T.StructField("bin", T.LongType())])
-    assigned = ranked.select("file_id", "size_class", "rank", F.col("before").cast("long").alias("before"))
-    return Compaction(files, manifest, staged(assigned.mapInArrow(_to_bins(plan_bins(histogram, target_bytes)), schema), "assigned"))
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = a.getFileSystem(conf)
-    fs.mkdirs(b.getParent())
-    if fs.exists(b) or not fs.rename(a, b):
-        raise FileExistsError(f"{target} is there already or can't be written")
+    plan = plan_bins(histogram, target_bytes, units, sizes)
+    ranked = running(sized, ["size_class"], "file_id", parts_for(int(histogram.sum())))
+    schema = T.StructType([*(sized.schema[c] for c in (*_RECORD, "n")), T.StructField("bin", T.LongType())])
+    assigned = ranked.select("size_class", "rank", *_RECORD, "n").mapInArrow(_to_bins(plan), schema)
+    done = Compaction(files, manifest, staged(assigned, "assigned"), target_bytes)
+    drop(sized)
+    return done
 
 
 def compact(files: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES) -> Compaction:
-    """Plan, rewrite, verify and commit; the files lie below ``path`` (new; in the shared folder if not given).
+    """Plan, rewrite, verify and commit; the files lie below ``path`` (new; in the shared folder if not given).  Runs jobs.
 
-    Raises :class:`VerificationError`, leaving nothing at ``path``, if a count or checksum is not that of the manifest.
+    Raises :class:`VerificationError`, leaving nothing at ``path``, if a count or checksum is not that of the plan or of
+    the listing, and ``FileExistsError`` if something lies at ``path``.
     """
     spark = files.sparkSession
+    path = path or f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(f"{path} is there already")
     done = plan_compaction(files, target_bytes)
-    name = uuid.uuid4().hex
-    staging, path = f"{shared_dir(spark)}/staging-{name}", path or f"{shared_dir(spark)}/compacted-{name}"
-    bins = done.assigned.agg(F.max("bin")).first()[0]
-    writers = min(MAX_WRITERS, (bins + 1) if bins is not None else 1)
-    records = files.select("file_id", norm_hash(F.col("hash")).alias("hash"), "data").join(done.assigned, "file_id")
-    if files.count() != done.manifest.count():
-        records = records.dropDuplicates(["file_id"])
-    if hasattr(records, "repartitionById"):
-        placed = records.repartitionById(writers, F.pmod("bin", F.lit(writers)).cast("int"))
-    else:
-        placed = records.repartition(writers, "bin")
-    placed.sortWithinPartitions("bin", "file_id").write.partitionBy("bin").parquet(staging)
-    planned = (
-        done.manifest.join(done.assigned, "file_id")
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(_check(F.col("key"), F.col("digest"))).alias("sum"))
-    )
-    schema = T.StructType([records.schema["file_id"], *[T.StructField(n, t) for n, t in (("hash", T.StringType()), ("data", T.BinaryType()), ("bin", T.LongType()))]])
-    written = (
-        spark.read.schema(schema).parquet(staging).groupBy(F.col("bin").alias("wbin")).agg(F.count(F.lit(1)).alias("wrows"), F.sum(_check(F.col("hash"), F.sha2("data", 256))).alias("wsum"))
-    )
-    same = F.col("rows").eqNullSafe(F.col("wrows")) & F.col("sum").eqNullSafe(F.col("wsum"))
-    wrong = planned.join(written, planned["bin"] == written["wbin"], "full").where(~same).limit(1).collect()
-    if wrong:
-        raise VerificationError(f"bin {wrong[0]['bin']} was not written as listed")
-    _rename(spark, staging, path)
+    data = f"{path}/files-{uuid.uuid4().hex}"
+    try:
+        _write(done, data)
+        _verify(done, data)
+        _commit(spark, path, data)
+    except BaseException:
+        delete(spark, path)
+        raise
     done.path = path
     return done
+
+
+def _write(done: Compaction, data: str) -> None:
+    """One file a bin."""
+    last = done.assigned.agg(F.max("bin")).first()[0]
+    writers = min(BINS_A_FOLDER, (last or 0) + 1)
+    rows = done.source.select("file_id", norm_hash(F.col("hash")).alias("hash"), "data").withColumn("digest", F.sha2("data", 256))
+    plan = done.assigned.select(*[F.col(c).alias(f"_{c}") for c in _RECORD], "bin")
+    same = [rows[a].eqNullSafe(plan[b]) for a, b in (("file_id", "_file_id"), ("hash", "_key"), ("digest", "_digest"))]
+    placed = rows.join(plan, same).select("file_id", "hash", "data", "digest", "bin").repartitionById(writers, F.pmod("bin", F.lit(writers)).cast("int"))
+    ordered = placed.sortWithinPartitions("bin", "file_id", "hash", "digest").withColumn("folder", F.floor(F.col("bin") / BINS_A_FOLDER))
+    schema = T.StructType([f for f in ordered.schema if f.name != "digest"])
+    ordered.mapInArrow(_once, schema).write.partitionBy("folder").parquet(data)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of the neighbouring rows with one bin, file, hash and digest: a row that was listed twice is written once."""
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("bin", "file_id", "hash", "digest")), strict=True))
+        keep = [k != p for k, p in zip(keys, [last, *keys[:-1]], strict=True)]
+        last = keys[-1] if keys else last
+        out = batch.filter(pa.array(keep, pa.bool_())) if not all(keep) else batch
+        yield out.drop_columns(["digest"])
+
+
+def _read(spark: SparkSession, data: str, id_type: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("file_id", id_type), *[T.StructField(n, t) for n, t in (("hash", T.StringType()), ("data", T.BinaryType()), ("bin", T.LongType()), ("folder", T.LongType()))]])
+    return spark.read.schema(schema).parquet(data)
+
+
+def _verify(done: Compaction, data: str) -> None:
+    """Compare what lies in ``data`` with the plan, bin by bin, and with the listing, as a whole."""
+    spark = done.source.sparkSession
+    digest = F.sha2("data", 256)
+    written = _read(spark, data, done.manifest.schema["file_id"].dataType).select("file_id", F.col("hash").alias("key"), digest.alias("digest"), "bin", F.octet_length("data").cast("long").alias("n"))
+    sums = lambda df, p: df.groupBy(F.col("bin").alias(f"{p}bin")).agg(F.count(F.lit(1)).alias(f"{p}rows"), F.sum(_check(*map(F.col, _RECORD))).alias(f"{p}sum"), F.sum("n").alias(f"{p}bytes"), F.sum(_check(F.col("key"), F.col("digest"))).alias(f"{p}records"))
+    plan, got = sums(done.assigned, "p"), sums(written, "w")
+    same = [F.col(f"p{c}").eqNullSafe(F.col(f"w{c}")) for c in ("rows", "sum", "bytes")]
+    both = plan.join(got, plan["pbin"] == got["wbin"], "full").agg(
+        F.min(F.when(~(same[0] & same[1] & same[2]), F.coalesce("pbin", "wbin"))).alias("wrong"), F.coalesce(F.sum("wrows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("wrecords"), F.lit(0)).alias("records")
+    ).first()
+    if both["wrong"] is not None:
+        raise VerificationError(f"bin {both['wrong']} was not written as planned")
+    whole = F.col("key").isNotNull() & F.col("digest").isNotNull()
+    record = F.when(whole, F.struct("key", "digest", F.lit(None).cast("string").alias("file_id"))).otherwise(F.struct("key", "digest", F.col("file_id").cast("string").alias("file_id")))
+    listed = done.manifest.select(record.alias("r")).distinct().agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_check(F.col("r.key"), F.col("r.digest"))), F.lit(0)).alias("records")).first()
+    if (both["rows"], both["records"]) != (listed["rows"], listed["records"]):
+        raise VerificationError(f"{both['rows']} records were written of {listed['rows']} listed ones, or others")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _commit(spark: SparkSession, path: str, data: str) -> None:
+    """Create the commit file, which names the folder and all files (one a bin) with their sizes."""
+    fs, at = _file_system(spark, data)
+    found, files = fs.listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString().split(data.rstrip("/").rsplit("/", 1)[1] + "/", 1)[1]
+        if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            files.append({"name": name, "bytes": f.getLen()})
+    text = json.dumps({"data": data.rstrip("/").rsplit("/", 1)[1], "files": sorted(files, key=lambda f: f["name"])})
+    fs, at = _file_system(spark, f"{path}/{COMMIT}")
+    out = fs.create(at, False)  # fails if it is there
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    """The records (file_id, hash, data, bin) of a committed compaction; raises ``FileNotFoundError`` without commit file."""
+    fs, at = _file_system(spark, f"{path}/{COMMIT}")
+    if not fs.exists(at):
+        raise FileNotFoundError(f"nothing was committed at {path}")
+    stream = fs.open(at)
+    try:
+        named = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    if not named["files"]:
+        return spark.createDataFrame([], "file_id long, hash string, data binary, bin long")
+    base = f"{path}/{named['data']}"
+    return spark.read.option("basePath", base).parquet(*[f"{base}/{f['name']}" for f in named["files"]]).drop("folder")

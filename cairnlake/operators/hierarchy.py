@@ -15,6 +15,7 @@ Nodes get numbers first; everything below works on numbers.
    of primary links can arise.  The forest of primary parents is numbered like the chains.  The descendants of a node
    are the nodes whose number lies in its range, or in the range of a portal that reaches it over another parent.
 
+Tables that one task can hold are solved there (:mod:`cairnlake.operators.small`), by the same rounds on arrays.
 Rounds of step 2 are as many as the longest way has portals, those of the other steps grow with the logarithm of the
 depth.  No table is larger than the nodes, the links, or the result asked for.
 """
@@ -27,6 +28,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.operators import small
 from cairnlake.operators.ranks import parts_for, running
 from cairnlake.session import cut, staged
 
@@ -44,6 +46,11 @@ def _portal(c: str = "top_kind") -> Column:
 def _upward(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     """Subtree sizes of ``rows`` (id, parent, kind): (id, parent, kind, size) of the nodes that have a top, (id, parent, low)
     of those at or below a cycle (None if there is none; ``low`` is the least number above), and the number of rounds."""
+    if rows.count() <= small.ROWS:
+        t = staged(small.in_one_task(rows.select("id", "parent", "kind"), "id long, parent long, kind long, size long, low long, stuck long", small.upward), "upward")
+        t = t.select("id", _known("parent"), _known("kind"), "size", "low", "stuck")
+        stuck = t.where("stuck = 1").select("id", "parent", "low")
+        return t.where("stuck = 0").select("id", "parent", "kind", "size"), None if stuck.isEmpty() else stuck, 64
     t = cut(rows.select("id", "parent", "kind", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.col("id").alias("low"), F.lit(False).alias("moved")))
     active, rounds = t.where("up is not null").count(), 0
     while active:
@@ -66,6 +73,9 @@ def _downward(sized: DataFrame, rounds: int) -> DataFrame:
     """(id, parent, size, pre, depth, top, top_kind) of a forest (id, parent, kind, size): the nodes at and below a node are
     those with pre <= number < pre + size; depth counts links to the top."""
     n = sized.count()
+    if n <= small.ROWS:
+        t = staged(small.in_one_task(sized.select("id", "parent", "size", "kind"), "id long, parent long, size long, pre long, depth long, top long, top_kind long", small.downward), "downward")
+        return t.withColumns({"parent": _known("parent"), "top_kind": _known("top_kind")})
     step = running(sized.withColumn("at", F.coalesce("parent", F.lit(-1))), ["at"], "id", parts_for(n), left=F.col("size"))
     top = F.col("parent").isNull()
     t = cut(
@@ -75,6 +85,8 @@ def _downward(sized: DataFrame, rounds: int) -> DataFrame:
         )
     )
     for _ in range(rounds):
+        if rounds == 64 and t.where("up is not null").isEmpty():  # sizes came from one task, which doesn't tell its rounds
+            break
         above = t.select(F.col("id").alias("up"), *[F.col(c).alias(c + "2") for c in ("up", "pre", "depth", "top", "top_kind")])
         jumped = t.where("up is not null").join(above, "up").select(
             "id", "parent", "size", F.col("up2").alias("up"), (F.col("pre") + F.col("pre2")).alias("pre"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("top2").alias("top"), F.col("top_kind2").alias("top_kind")
@@ -83,6 +95,16 @@ def _downward(sized: DataFrame, rounds: int) -> DataFrame:
     return t.drop("up")
 
 
+def small_table(df: DataFrame) -> bool:
+    """Whether one task can hold ``df``; looks at no more rows than that."""
+    return df.limit(small.ROWS + 1).count() <= small.ROWS
+
+
+def _known(c: str) -> Column:
+    """The numbers of a column of :func:`small.in_one_task`, with nulls again."""
+    return F.when(F.col(c) >= 0, F.col(c)).alias(c)
+
+
 def relax(seed: DataFrame, edges: DataFrame) -> DataFrame:
     """(at, key, links): the fewest links from where ``seed`` (at, key, links) starts each key over ``edges`` (src, dst, links).
 
@@ -90,8 +112,16 @@ def relax(seed: DataFrame, edges: DataFrame) -> DataFrame:
     shorter.  Rounds: the links of the longest of the shortest ways.
     """
     best = lambda df: df.groupBy("at", "key").agg(F.min("links").alias("links"))
-    front = cut(best(seed.select("at", "key", "links")))
-    known, parts, k = front, [front], 0
+    if small_table(seed) and small_table(edges):
+        both = seed.select(F.lit(0).alias("side"), F.col("at").alias("a"), F.col("key").alias("b"), "links").unionByName(edges.select(F.lit(1).alias("side"), F.col("src").alias("a"), F.col("dst").alias("b"), "links"))
+        t = staged(small.in_one_task(both, "at long, key long, links long, front long", small.relax), "relaxed")
+        known, front = t.select("at", "key", "links"), t.where("front = 1").select("at", "key", "links")
+        if front.isEmpty():
+            return known
+        parts, k = [], 0
+    else:
+        front = cut(best(seed.select("at", "key", "links")))
+        known, parts, k = front, [front], 0
     while not front.isEmpty():
         more = best(front.join(edges, front["at"] == edges["src"]).select(F.col("dst").alias("at"), "key", (front["links"] + edges["links"]).alias("links")))
         old = best(known).withColumnRenamed("links", "old")
@@ -146,7 +176,7 @@ class Hierarchy:
             opened = stuck.select("id", F.when(~at, F.col("parent")).alias("parent"), F.when(at, CUT).alias("kind"))
             more, none, r = _upward(opened)
             assert none is None
-            sized, rounds = staged(sized.unionByName(more), "sized"), max(rounds, r)
+            sized, rounds = sized.unionByName(more), max(rounds, r)
         return _downward(sized, rounds)
 
     # -- portals ---------------------------------------------------------------------------------------------------
@@ -178,6 +208,8 @@ class Hierarchy:
         """(portal, scc): the portals on cycles; portals on one cycle have one scc."""
         edges = cut(self.steps.where("target is not null").select("portal", "target").distinct())
         n = edges.count()
+        if n <= small.ROWS:
+            return staged(small.in_one_task(edges, "portal long, scc long", small.components), "components")
         while n:  # peel both ends: what nothing leads to, and what leads nowhere
             onward, reached = edges.select(F.col("portal").alias("target")).distinct(), edges.select(F.col("target").alias("portal")).distinct()
             edges = cut(edges.join(onward, "target", "left_semi").join(reached, "portal", "left_semi").select("portal", "target"), edges)

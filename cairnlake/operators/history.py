@@ -1,37 +1,26 @@
-"""Walking commit graphs.
-
-All walks come from one operator, :func:`reach`: the nodes that start nodes reach over parent links, by doubling.  In
-round k every node has its jumps of exactly 2^k links, and each start follows them from all it has reached so far, so a
-history of n commits takes log2(n) rounds.
-"""
+"""Walking commit graphs, on the nested sets of :mod:`cairnlake.operators.hierarchy`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.operators.hierarchy import Hierarchy, hierarchy
 from cairnlake.session import cut
 
 
-def reach(starts: DataFrame, links: DataFrame, first_parent: bool = False) -> DataFrame:
+def graph(commits: DataFrame, links: DataFrame) -> Hierarchy:
+    """The graph of ``commits`` (hash) and ``links`` (child, parent)."""
+    return hierarchy(commits.select(F.col("hash").alias("node")), links.select("child", "parent", F.lit(0).alias("ord")))
+
+
+def reach(starts: DataFrame, links: DataFrame) -> DataFrame:
     """(start, node, steps): every node that ``starts`` (start) reach over ``links`` (child, parent), fewest steps.
 
-    A start reaches itself with 0 steps.  Cycles are walked until nothing new is found.
+    A start reaches itself with 0 steps.  Cycles are walked once.  Runs jobs.
     """
-    jump = cut(links.select("child", "parent").where("child <> parent").distinct())
-    got = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")).distinct())
-    n, width = got.count(), 1
-    while True:
-        more = got.join(jump, got["node"] == jump["child"]).select("start", F.col("parent").alias("node"), (F.col("steps") + width).alias("steps"))
-        got = cut(got.unionByName(more).groupBy("start", "node").agg(F.min("steps").alias("steps")))
-        m = got.count()
-        if m == n and not more.limit(1).count():
-            return got
-        if m == n and width > 1:  # no node at 2^k to 2^(k+1) - 1 steps: none farther either
-            return got
-        n, width = m, width * 2
-        on = jump.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
-        jump = cut(jump.join(on, "parent").select("child", F.col("far").alias("parent")).distinct())
+    nodes = starts.select(F.col("start").alias("hash")).union(links.select("child")).union(links.select("parent"))
+    return graph(nodes, links).ancestors(starts.select(F.col("start").alias("node")))
 
 
 def reach_by_steps(starts: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,7 +36,7 @@ def reach_by_steps(starts: DataFrame, links: DataFrame) -> DataFrame:
         got = got.unionByName(front)
         if n % 4 == 0:
             got = cut(got)
-    return got
+    return cut(got)
 
 
 def tips(commits: DataFrame) -> DataFrame:
@@ -57,25 +46,52 @@ def tips(commits: DataFrame) -> DataFrame:
 
 def heads(commits: DataFrame, links: DataFrame) -> DataFrame:
     """(hash): every commit that is no other commit's parent, and of each cycle that nothing outside leads to the greatest hash."""
-    links = cut(links.where("child <> parent").select("child", "parent").distinct())
-    every = cut(commits.select("hash").where("hash is not null").distinct())
-    free = cut(every.join(links.select(F.col("parent").alias("hash")), "hash", "left_anti"))
-    rest = cut(every.join(marked(free, links), "hash", "left_anti"))
-    if not rest.limit(1).count():
-        return free
-    over = reach(rest.select(F.col("hash").alias("start")), links).select("start", "node").join(rest.select(F.col("hash").alias("node")), "node", "left_semi")
-    over = cut(over.select("start", "node"))
-    back = over.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    later = over.join(back, ["start", "node"], "left_anti").select(F.col("node").alias("hash")).distinct()
-    last = over.groupBy(F.col("node").alias("hash")).agg(F.max("start").alias("last")).where("hash = last").select("hash")
-    return free.unionByName(last.join(later, "hash", "left_anti"))
-
-
-def marked(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(hash): all that some of ``roots`` (hash) reach, themselves included."""
-    one = roots.select(F.lit("").alias("child"), F.col("hash").alias("parent"))
-    got = reach(roots.sparkSession.createDataFrame([("",)], "start string"), links.select("child", "parent").unionByName(one))
-    return got.select(F.col("node").alias("hash")).where("hash <> ''")
+    return graph(commits, links).heads().select(F.col("node").alias("hash"))
+
+
+def between(graph: Hierarchy, first: Hierarchy, ranges: DataFrame) -> DataFrame:
+    """(old, new, n): for each pair of ``ranges`` (old, new) how many first parents (graph ``first``) one walks from ``new``,
+    itself counted, until a commit that is ``old`` or an ancestor of it over any parents; to the end if there is none."""
+    pairs = ranges.select("old", "new").distinct()
+    known = graph.ancestors(pairs.select(F.col("old").alias("node"))).select(F.col("start").alias("old"), "node", F.lit(True).alias("met"))
+    walk = pairs.join(first.ancestors(pairs.select(F.col("new").alias("node"))).withColumnRenamed("start", "new"), "new")
+    told = walk.join(known, ["old", "node"], "left")
+    return told.groupBy("old", "new").agg(F.coalesce(F.min(F.when(F.col("met"), F.col("steps"))), F.count(F.lit(1))).alias("n"))
+
+
+def narrowed(reached: DataFrame, known: DataFrame) -> DataFrame:
+    """(start, node, left): the commit to test next when searching a first-parent chain for the first bad one.
+
+    ``reached`` is (start, node, steps) of first parents, ``known`` (node, bad).  Of the commits between the oldest known
+    bad one (the start, if none is known) and the newest known good one before it, the middle is next; ``left`` are the
+    candidates that remain, the bad one included.  A chain without good commit is searched to its end.
+    """
+    told = reached.join(known, "node", "left")
+    ends = told.groupBy("start").agg(F.coalesce(F.max(F.when(F.col("bad"), F.col("steps"))), F.lit(0)).alias("bad_at"))
+    told = told.join(ends, "start")
+    good = told.groupBy("start").agg(F.min(F.when(~F.col("bad") & (F.col("steps") > F.col("bad_at")), F.col("steps"))).alias("good_at"))
+    open_ = told.join(good, "start").where("steps >= bad_at and (good_at is null or steps < good_at)")
+    last = open_.groupBy("start").agg(F.min("steps").alias("low"), F.count(F.lit(1)).alias("left"))
+    return open_.join(last, "start").where("steps = low + left div 2").select("start", "node", "left")
+
+
+def resolve(names: DataFrame, refs: DataFrame, commits: DataFrame, first: Hierarchy) -> DataFrame:
+    """(text, hash): the commits that revisions ``names`` (text) stand for; null where there is none.
+
+    A revision is a ref or a prefix of a hash of at least six digits (of several commits the least), then ``~N``, ``^`` or
+    ``^N``: N first parents up.  ``refs`` is (name, hash), unique; ``first`` the graph of first parents.
+    """
+    from cairnlake.functions.scalars import revision
+
+    rows = names.select("text").distinct().withColumn("r", revision(F.col("text"))).select("text", F.col("r.base").alias("base"), F.col("r.steps").alias("up"))
+    by_name = rows.join(refs.select(F.col("name").alias("base"), F.col("hash").alias("by_name")), "base", "left")
+    short = by_name.where("by_name is null and length(base) >= 6").select("text", F.lower("base").alias("prefix"), F.lower(F.substring("base", 1, 6)).alias("six"))
+    six = commits.select(F.substring("hash", 1, 6).alias("six"), "hash")
+    by_prefix = short.join(six, "six").where(F.col("hash").startswith(F.col("prefix"))).groupBy("text").agg(F.min("hash").alias("by_prefix"))
+    based = cut(by_name.join(by_prefix, "text", "left").select("text", "up", F.coalesce("by_name", "by_prefix").alias("start")))
+    walked = first.ancestors(based.select(F.col("start").alias("node")))
+    found = based.join(walked, "start").where("steps = up").select("text", F.col("node").alias("hash"))
+    return based.select("text").join(found, "text", "left")
 
 
 def merge_bases(a_reach: DataFrame, b_reach: DataFrame, links: DataFrame, commits: DataFrame) -> DataFrame:

@@ -27,9 +27,13 @@ def counts(commits: DataFrame, manifests: DataFrame, chunks: DataFrame) -> DataF
     return one.crossJoin(dangling_parents(commits).agg(F.count(F.lit(1)).alias("dangling_parents")))
 
 
-def unreachable_chunks(reached: DataFrame, commits: DataFrame, entries: DataFrame, chunks: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(hash, size) of stored chunks that no manifest of a reached commit (node), nor of ``roots`` (manifest), names: mark, then sweep."""
-    live = commits.join(reached.select(F.col("node").alias("hash")).distinct(), "hash", "left_semi").select("manifest").where("manifest is not null").distinct()
-    live = live if roots is None else live.unionByName(roots.select("manifest")).distinct()
-    named = entries.join(live, "manifest", "left_semi").select(F.explode("chunks").alias("c")).select(norm_hash(F.col("c.hash")).alias("hash")).distinct()
+def live_manifests(reached: DataFrame, commits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(manifest): those that a reached commit (node) names, and ``roots`` (manifest): mark."""
+    live = commits.join(reached.select(F.col("node").alias("hash")).distinct(), "hash", "left_semi").select("manifest").where("manifest is not null")
+    return live.unionByName(roots.select("manifest")).distinct()
+
+
+def unreachable_chunks(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(hash, size) of stored chunks that none of the ``entries`` of live manifests names: sweep."""
+    named = entries.select(F.explode("chunks").alias("c")).select(norm_hash(F.col("c.hash")).alias("hash")).distinct()
     return chunks.select("hash", "size").join(named, "hash", "left_anti")

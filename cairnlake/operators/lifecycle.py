@@ -112,7 +112,6 @@ def active_locks(locks: DataFrame, as_of: Column) -> DataFrame:
 
 
 def acquire(requests: DataFrame, locks: DataFrame, as_of: Column) -> DataFrame:
-    """(path, owner, granted): a request is refused where another's lock is alive and it doesn't force."""
-    live = active_locks(locks, as_of).select("path", F.col("owner").alias("holder"))
-    free = F.col("holder").isNull() | (F.col("holder") == F.col("owner")) | F.col("force")
-    return requests.join(live, "path", "left").select("path", "owner", free.alias("granted"))
+    """(path, owner, granted): a request is refused where a lock is alive, whoever holds it, unless it forces."""
+    live = active_locks(locks, as_of).select("path", F.lit(True).alias("held")).distinct()
+    return requests.join(live, "path", "left").select("path", "owner", (F.col("held").isNull() | F.col("force")).alias("granted"))

@@ -1,9 +1,9 @@
 """References to records that do not exist.
 
-Distinct non-null foreign keys are compared with the parent keys once per key (a hot key is one row there), and only
-the keys that have a problem are joined back to the references.  The join back is salted: each problem key comes
-``salts`` times, each reference picks one of them by its own id, so that a key holding a third of all rows is spread
-over that many tasks.
+The distinct non-null foreign keys, each with the time of its first reference, are anti-joined with the parent keys that
+were usable by then (a hot key is one row there).  Only the keys that are left, which have a problem, are joined back to
+the references: keys of more than ``HOT_ROWS`` references by broadcast, so that a key holding a third of all rows is
+never shuffled, the others by a shuffle in which no key is that large.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import norm_hash
+from cairnlake.session import broadcast_if_small, staged
+
+HOT_ROWS = 1_000_000
 
 
 def references(df: DataFrame, ref_table: str, ref_id: Column, hashes: Column, at: Column) -> DataFrame:
@@ -27,36 +30,38 @@ def references(df: DataFrame, ref_table: str, ref_id: Column, hashes: Column, at
     ).select("ref_table", "ref_id", "target_hash", "at")
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame, salts: int = 8) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The references without a usable parent: ``(ref_table, ref_id, target_hash, ref_state, at)``, each once.
 
     ``refs`` comes from :func:`references`; ``parents`` has ``hash, created_at, deleted_at`` with any number of rows
     a hash; ``always`` has ``hash`` of parents that can't be missing.  ``ref_state`` is ``missing`` (no parent row),
     ``deleted`` (every parent row is deleted) or ``late`` (every parent row was created after the reference).  A parent
     without creation time counts as always there, a reference without time is never late.  Empty inputs give no rows,
-    copies of a reference give one row, other columns of the inputs are ignored.
+    copies of a reference give one row, other columns of the inputs are ignored.  The keys with a problem are written to
+    the shared folder when this is called.
     """
-    wanted = refs.groupBy("target_hash").agg(F.min("at").alias("first_at"))
+    wanted = refs.groupBy("target_hash").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
     state = (
-        parents.select(norm_hash(F.col("hash")).alias("target_hash"), "created_at", F.col("deleted_at").isNull().alias("live"))
-        .where(F.col("target_hash").isNotNull())
-        .groupBy("target_hash")
+        parents.select(norm_hash(F.col("hash")).alias("key"), "created_at", F.col("deleted_at").isNull().alias("live"))
+        .where(F.col("key").isNotNull())
+        .groupBy("key")
         .agg(
             F.max("live").alias("live"),
             F.when(F.count("created_at") == F.count(F.lit(1)), F.min("created_at")).alias("born"),
         )
     )
     known = always.select(norm_hash(F.col("hash")).alias("target_hash")).distinct()
-    problems = (
-        wanted.join(known, "target_hash", "left_anti")
-        .join(state, "target_hash", "left")
-        .where(F.col("live").isNull() | ~F.col("live") | (F.col("born") > F.col("first_at")))
-        .select("target_hash", "live", "born", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(salts)).cast("int"))
+    usable = (F.col("target_hash") == F.col("key")) & F.col("live") & ~F.coalesce(F.col("born") > F.col("first_at"), F.lit(False))
+    left = wanted.join(known, "target_hash", "left_anti").join(state, usable, "left_anti")
+    problems = staged(left.join(state, F.col("target_hash") == F.col("key"), "left").select("target_hash", "n", "live", "born"), "orphan-keys")
+    hot, rest = problems.where(F.col("n") > hot_rows).drop("n"), problems.where(F.col("n") <= hot_rows).drop("n")
+    if hot.isEmpty():
+        found = refs.join(rest, "target_hash")
+    else:
+        hot = broadcast_if_small(hot)
+        found = refs.join(hot, "target_hash").unionByName(refs.join(hot.select("target_hash"), "target_hash", "left_anti").join(rest, "target_hash"))
     return (
-        salted.join(problems, ["target_hash", "salt"])
-        .withColumn("ref_state", F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("born") > F.col("at"), "late"))
+        found.withColumn("ref_state", F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("born") > F.col("at"), "late"))
         .where(F.col("ref_state").isNotNull())
         .select("ref_table", "ref_id", "target_hash", "ref_state", "at")
         .distinct()

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.functions.keys import norm_hash
+
 GROUP = ["repo", "branch"]
 KEY = [*GROUP, "path"]
 
@@ -124,17 +126,21 @@ def cherry_pick(parent: DataFrame, commit: DataFrame, head: DataFrame) -> DataFr
 
 
 def sync_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(group, path, change, n_new, n_kept, transfer_bytes): chunks to send so that ``remote`` becomes ``local``."""
-    a = local.select(*KEY, F.col("chunks").alias("l"))
-    b = remote.select(*KEY, F.lit(True).alias("in_r"), F.col("chunks").alias("r"))
-    hashes = lambda c: F.coalesce(F.array_distinct(F.transform(c, lambda x: x["hash"])), F.array().cast("array<string>"))
-    rows = a.join(b, KEY, "left").withColumns({"lh": hashes("l"), "rh": hashes("r")})
-    new = F.array_except("lh", "rh")
-    fresh = F.filter(F.coalesce(F.col("l"), F.array()), lambda x: F.array_contains(F.col("new"), x["hash"]))
-    return rows.withColumn("new", new).select(
-        *KEY, F.when(F.col("in_r").isNull(), "A").otherwise("M").alias("change"), F.size("new").alias("n_new"), F.size(F.array_intersect("lh", "rh")).alias("n_kept"),
-        F.aggregate(fresh, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["size"], F.lit(0))).alias("transfer_bytes"),
+    """(group, path, change, n_new, n_kept, n_removed, transfer_bytes): what to send so that ``remote`` becomes ``local``.
+
+    ``change`` is A(dded), M (on both sides) or D (removed).  Chunks are compared by their hashes in normal form and counted
+    once a file; ``transfer_bytes`` are those of every chunk that the remote file lacks.  Chunks without hash are ignored.
+    """
+    side = lambda df, is_local: df.select(*KEY, F.lit(is_local).alias("l"), F.explode("chunks").alias("c"))
+    rows = side(local, True).unionByName(side(remote, False)).select(*KEY, "l", norm_hash(F.col("c.hash")).alias("h"), F.col("c.size").alias("size")).where("h is not null")
+    each = rows.groupBy(*KEY, "h").agg(F.max("l").alias("in_l"), F.max(~F.col("l")).alias("in_r"), F.sum(F.when(F.col("l"), F.col("size"))).alias("bytes"))
+    n = each.groupBy(*KEY).agg(
+        F.count_if(F.col("in_l") & ~F.col("in_r")).alias("n_new"), F.count_if(F.col("in_l") & F.col("in_r")).alias("n_kept"), F.count_if(~F.col("in_l")).alias("n_removed"), F.sum(F.when(~F.col("in_r"), F.col("bytes"))).alias("transfer_bytes")
     )
+    both = _side(local, "l").join(_side(remote, "r"), KEY, "full")
+    change = F.when(~_there("r"), "A").when(~_there("l"), "D").otherwise("M")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_new", "n_kept", "n_removed", "transfer_bytes")]
+    return both.select(*KEY, change.alias("change")).join(n, KEY, "left").select(*KEY, "change", *zero)
 
 
 # -- path filters ------------------------------------------------------------------------------------------------------
@@ -188,12 +194,18 @@ def directories(tree: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP, "dir").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).withColumn("parent", F.regexp_extract("dir", "^(.*)/[^/]*$", 1))
 
 
-def children(tree: DataFrame, parent: str = "") -> DataFrame:
-    """(group, name, is_dir): what a directory lists (``""``: the root), without ``.`` and ``..``."""
-    prefix = parent.strip("/") + "/" if parent.strip("/") else ""
-    rest = F.substring(F.col("path"), len(prefix) + 1, 1 << 20)
-    rows = tree.where(F.col("path").startswith(prefix)).select(*GROUP, F.split(rest, "/")[0].alias("name"), F.coalesce(F.contains(rest, F.lit("/")), F.lit(False)).alias("is_dir"))
-    return rows.distinct()
+def children(tree: DataFrame) -> DataFrame:
+    """(group, dir, name, is_dir): what every directory lists (``""``: the root), without ``.`` and ``..``."""
+    parts = F.split("path", "/")
+    level = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("dir"), F.element_at(parts, i).alias("name"), (i < F.size(parts)).alias("is_dir")))
+    return tree.select(*GROUP, F.explode(level).alias("l")).select(*GROUP, "l.dir", "l.name", "l.is_dir").distinct()
+
+
+def lookup(paths: DataFrame, tree: DataFrame) -> DataFrame:
+    """(group, path, kind): whether each of ``paths`` (group, path) is a file, a directory or none in its tree."""
+    dirs = directories(tree).select(*GROUP, F.col("dir").alias("path"), F.lit(True).alias("is_dir"))
+    found = paths.select(*KEY).distinct().join(tree.select(*KEY, F.lit(True).alias("is_file")).distinct(), KEY, "left").join(dirs, KEY, "left")
+    return found.select(*KEY, F.when(F.col("is_file"), "file").when(F.col("is_dir"), "directory").otherwise("none").alias("kind"))
 
 
 def merge_lines(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:

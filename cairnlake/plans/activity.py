@@ -41,10 +41,6 @@ def _clips(s, d):
     return e.select((F.col("user_id") % 20).alias("project"), F.col("user_id").alias("track"), F.col("event_id").alias("clip"), F.lit(0).cast("long").alias("in_point"), (F.floor(F.col("value") * 10) + 1).alias("out_point"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 10).alias("start"))
 
 
-def _starts(s, d):
-    return R.dependency_nodes(s, d).where("is_project and node % 50 = 0").select(F.col("node").alias("start"))
-
-
 def _projects(s, d):
     return R.dependency_nodes(s, d).where("is_project").select(F.col("node").alias("start"))
 
@@ -117,10 +113,8 @@ QUERIES = {
     "project_duration": lambda s, d: T.track_durations(_clips(s, d)).groupBy("project").agg(F.max("duration").alias("duration"), F.sum("n_clips").alias("n_clips")),
     "clip_order": lambda s, d: T.clip_order(_clips(s, d)),
     "clip_media_join": lambda s, d: _clips(s, d).join(R.dependency_nodes(s, d), F.col("clip") == F.col("node"), "left").select("project", "track", "clip", "is_tracked"),
-    "dep_closure": lambda s, d: D.closure(_starts(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
-    "dep_validate": lambda s, d: D.validate(_starts(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
-    "dep_closure_all": lambda s, d: D.in_blocks(D.closure, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
-    "dep_validate_all": lambda s, d: D.in_blocks(D.validate, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
+    "dep_closure": lambda s, d: D.in_blocks(D.closure, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
+    "dep_validate": lambda s, d: D.in_blocks(D.validate, _projects(s, d), R.dependency_nodes(s, d), R.dependency_edges(s, d)),
     "dep_graph_stats": lambda s, d: D.graph_stats(R.dependency_nodes(s, d), R.dependency_edges(s, d)),
     "dep_neighbors": lambda s, d: D.dependents(R.dependency_nodes(s, d).where("not is_tracked").select("node"), R.dependency_edges(s, d)),
     "dep_untracked": lambda s, d: R.dependency_nodes(s, d).where("not is_tracked").select("node"),
@@ -145,7 +139,7 @@ _RU = "count(*) AS n, count(*) FILTER (outcome = 'failure') AS errors, count(DIS
 _OC = "count(*) AS total, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'denied') AS denied, min(ts) AS oldest, max(ts) AS newest"
 _CLIPS = "cl AS (SELECT user_id % 20 AS project, user_id AS track, event_id AS clip, 0 AS in_point, floor(value * 10)::BIGINT + 1 AS out_point, epoch(ts)::BIGINT // 10 AS start FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events))"
 _ST = "st AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY video ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM seg)"
-_CLO = "clo AS (SELECT node AS start, node FROM dn WHERE is_project AND node % 50 = 0 UNION SELECT c.start, de.dst FROM clo c JOIN de ON de.src = c.node JOIN dn ON dn.node = c.node AND dn.is_project)"
+_CLO = "clo AS (SELECT node AS start, node FROM dn WHERE is_project UNION SELECT c.start, de.dst FROM clo c JOIN de ON de.src = c.node JOIN dn ON dn.node = c.node AND dn.is_project)"
 
 
 def _also(names: str, cte: str, body: str, recursive: bool = False) -> str:
@@ -171,7 +165,7 @@ SQL = {
     "active_locks": _LK + f"SELECT path, owner FROM lk WHERE expires_at >= TIMESTAMP '{_NOW}'",
     "locks_by_owner": _LK + f"SELECT owner, count(*) AS n FROM lk WHERE expires_at >= TIMESTAMP '{_NOW}' GROUP BY 1",
     "expired_locks": _LK + f"SELECT path FROM lk WHERE expires_at < TIMESTAMP '{_NOW}'",
-    "lock_acquire": _LK + f"SELECT c_custkey AS path, '1-URGENT' AS owner, l.owner IS NULL OR l.owner = '1-URGENT' OR c_nationkey % 5 = 0 AS granted FROM customer LEFT JOIN (FROM lk WHERE expires_at >= TIMESTAMP '{_NOW}') l ON l.path = c_custkey",
+    "lock_acquire": _LK + f"SELECT c_custkey AS path, '1-URGENT' AS owner, l.path IS NULL OR c_nationkey % 5 = 0 AS granted FROM customer LEFT JOIN (FROM lk WHERE expires_at >= TIMESTAMP '{_NOW}') l ON l.path = c_custkey",
     "audit_by_type": sql("ev", "SELECT id, ts FROM ev WHERE event_type = 'purchase'"),
     "audit_by_resource": sql("ev", "SELECT id FROM ev WHERE resource = '3'"),
     "audit_by_time": sql("ev", "SELECT id FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'"),

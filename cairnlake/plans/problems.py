@@ -91,15 +91,28 @@ def p2_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return compaction.compact(table(spark, root, "object_files")).duplicates
+    done = compaction.compact(table(spark, root, "object_files"))
+    done.discard()  # the answer is in the plan that was just carried out and verified
+    return done.duplicates
 
 
 def p4_files(spark: SparkSession, root: str) -> DataFrame:
-    """The files that the compaction wrote."""
-    return compaction.compact(table(spark, root, "object_files")).files()
+    """How many records and bytes the compaction wrote."""
+    return compaction.compact(table(spark, root, "object_files")).files().agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_files": p4_files, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
+def p4_bins(spark: SparkSession, root: str) -> DataFrame:
+    """The bins of files of 64 KiB: records, bytes, whether all keep to the target, and whether they are at most a tenth
+    (and one) more than the bytes and the records' overhead need."""
+    target = 1 << 16
+    done = compaction.compact(table(spark, root, "object_files"), target_bytes=target)
+    weight = F.col("n_bytes") + compaction.OVERHEAD * F.col("n_records")
+    fits = (F.max("n_bytes") <= target).alias("fits")
+    tight = (F.count(F.lit(1)) <= F.ceil(F.sum(weight) / target) * 1.1 + 1).alias("tight")
+    return done.files().agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), fits, tight)
+
+
+QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_files": p4_files, "p4_bins": p4_bins, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_summary": p6_summary}
 
 
 def norm_hash_sql(c: str) -> str:
@@ -165,6 +178,13 @@ down AS (
 anc AS (SELECT kind, child AS node, parent AS a FROM links UNION SELECT x.kind, x.node, l.parent FROM anc x JOIN links l ON l.kind = x.kind AND l.child = x.a)
 """
 
+_P4 = f"""
+WITH f AS (SELECT DISTINCT file_id, {norm_hash_sql("hash")} AS key, data FROM object_files),
+r AS (
+  SELECT coalesce(octet_length(data), 0) AS n FROM f WHERE key IS NULL OR data IS NULL
+  UNION ALL SELECT octet_length(data) FROM (SELECT DISTINCT key, data FROM f WHERE key IS NOT NULL AND data IS NOT NULL))
+"""
+
 SQL = {
     "p2_found": _P2
     + """SELECT kind, node, root, min(n)::INTEGER AS n_links FROM down GROUP BY ALL
@@ -172,6 +192,8 @@ UNION ALL SELECT kind, node, 'cycle', -1 FROM anc WHERE node = a""",
     "p4_found": f"""
 SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY {norm_hash_sql("hash")}, data) AS first
 FROM object_files WHERE data IS NOT NULL AND {norm_hash_sql("hash")} IS NOT NULL) WHERE file_id > first""",
+    "p4_files": _P4 + "SELECT count(*) AS n_records, sum(n)::BIGINT AS n_bytes FROM r",
+    "p4_bins": _P4 + "SELECT count(*) AS n_records, sum(n)::BIGINT AS n_bytes, true AS fits, true AS tight FROM r",
     "p3_found": _P3 + "SELECT ref_table, ref_id, target_hash, ref_state, strftime(recorded_at, '%Y-%m') AS ref_month FROM orph WHERE ref_state IS NOT NULL",
     "p3_report": _P3
     + """, tot AS (SELECT ref_table, strftime(recorded_at, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL)

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import norm_hash, norm_path
 from cairnlake.plans.problems import norm_hash_sql, norm_path_sql
+from cairnlake.session import broadcast_if_small
 from cairnlake.sources.tables import table
 
 
-def entries(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each path of a snapshot: of several rows the one recorded last."""
+def raw_entries(spark: SparkSession, root: str, of: DataFrame | None = None) -> DataFrame:
+    """Rows of manifest entries with a path, only those of the snapshots ``of`` (manifest) if given: they are picked
+    before anything is normalised or shuffled, by broadcast if they are few."""
     raw = table(spark, root, "manifest_entries").where("path is not null")
+    return raw if of is None else raw.join(broadcast_if_small(of.select("manifest").distinct()), "manifest", "left_semi")
+
+
+def entries(spark: SparkSession, root: str, of: DataFrame | None = None) -> DataFrame:
+    """One row for each path of a snapshot: of several rows the one recorded last."""
     cols = ["repo", "mode", "file_type", "size", "content_hash", "chunks", "storage"]
-    rows = raw.withColumns({"path": norm_path(F.col("path")), "content_hash": norm_hash(F.col("content_hash"))})
+    rows = raw_entries(spark, root, of).withColumns({"path": norm_path(F.col("path")), "content_hash": norm_hash(F.col("content_hash"))})
     last = rows.groupBy("manifest", "path").agg(F.max_by(F.struct(*cols), F.struct("recorded_at", "entry_id")).alias("row"))
     return last.select("manifest", "path", "row.*")
 
@@ -30,17 +37,12 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
 def head_entries(spark: SparkSession, root: str) -> DataFrame:
     """Entries of the last snapshot of each branch."""
     heads = snapshots(spark, root).where("back = 1").select("manifest", "branch")
-    return entries(spark, root).join(heads, "manifest")
-
-
-def nth_entries(spark: SparkSession, root: str, nth: int) -> DataFrame:
-    """(repo, branch, path, mode, file_type, size, content_hash, chunks) of the nth snapshot of each branch."""
-    snap = snapshots(spark, root).where(F.col("nth") == nth).select("manifest", "branch")
-    return entries(spark, root).join(snap, "manifest").select("repo", "branch", "path", "mode", "file_type", "size", "content_hash", "chunks")
+    return entries(spark, root, heads).join(heads, "manifest")
 
 
 def window_entries(spark: SparkSession, root: str, width: int) -> list[DataFrame]:
-    """Entries like :func:`nth_entries` of the first to last snapshot of every ``width`` consecutive ones of a branch.
+    """(repo, branch, path, mode, file_type, size, content_hash, chunks) of the first to last snapshot of every ``width``
+    consecutive ones of a branch.
 
     ``branch`` is a struct of the branch and the last one's seq (and number), so that each window is a group of its own.
     """
@@ -132,9 +134,8 @@ CTE = {
     "snaps": "snaps AS (SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY seq, taken_at, manifest) AS nth, row_number() OVER (PARTITION BY repo, branch ORDER BY seq DESC, taken_at DESC, manifest DESC) AS back FROM (SELECT DISTINCT manifest, repo, branch, seq, taken_at FROM manifests WHERE manifest IS NOT NULL AND seq IS NOT NULL))",
     "head": "head AS (SELECT e.*, branch FROM entries e JOIN snaps USING (manifest) WHERE back = 1)",
     "refs": f"refs AS (SELECT h.repo, h.branch, h.manifest, h.path, i - 1 AS idx, {_NH('h.chunks[i].hash')} AS chunk_hash, h.chunks[i].byte_offset AS byte_offset, h.chunks[i].size AS size FROM head h, unnest(range(1, len(h.chunks) + 1)) t(i))",
-    "base": "base AS (SELECT e.*, branch FROM entries e JOIN snaps USING (manifest) WHERE nth = 1)",
-    "ours": "ours AS (SELECT e.*, branch FROM entries e JOIN snaps USING (manifest) WHERE nth = 2)",
-    "theirs": "theirs AS (SELECT e.*, branch FROM entries e JOIN snaps USING (manifest) WHERE nth = 3)",
+    **{f"{name}{width}": f"{name} AS (SELECT e.*, {{'branch': s.branch, 'seq': l.seq, 'at': l.nth}} AS branch FROM entries e JOIN snaps s USING (manifest) JOIN snaps l ON l.repo = s.repo AND l.branch = s.branch AND l.nth = s.nth + {width - 1 - k} WHERE l.nth >= {width})" for width in (2, 3) for k, name in enumerate(("base", "ours", "theirs")[:width])},
+    "theirs2": "theirs AS (SELECT * FROM ours)",
     "stored": f"stored AS (SELECT {_NH('hash')} AS hash, category, size, original_size, compression, tier, ref_count, created_at, deleted_at FROM chunks WHERE hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_NH('hash')} ORDER BY created_at DESC NULLS LAST, size DESC NULLS LAST, tier DESC NULLS LAST, ref_count DESC NULLS LAST, category DESC NULLS LAST, original_size DESC NULLS LAST, compression DESC NULLS LAST, deleted_at DESC NULLS LAST) = 1)",
     "cm": f"cm AS (SELECT DISTINCT {_NH('hash')} AS hash, repo, {_NH('parent')} AS parent, list_transform(parents, lambda x: {_NH('x')}) AS parents, {_NH('manifest')} AS manifest, message, author, email, ts FROM commits)",
     "links": "links AS (SELECT DISTINCT hash AS child, p AS parent FROM (SELECT hash, unnest([parent] || coalesce(parents, [])) AS p FROM cm) WHERE p IN (SELECT hash FROM cm))",

@@ -22,11 +22,11 @@ def test_walks_and_sweep_from_all_heads(spark, root):
         parents[r["child"]].add(r["parent"])
     named = {p for ps in parents.values() for p in ps}
     reached = defaultdict(set)
-    for r in history.QUERIES["ancestors_all"](spark, root).collect():
+    for r in history.QUERIES["ancestors"](spark, root).collect():
         reached[r["start"]].add(r["node"])
     assert everything - named <= set(reached) and set().union(*reached.values()) == everything
     assert all(nodes == brute_reach(start, parents) for start, nodes in reached.items())
     live = {r[0] for r in R.commits(spark, root).select("manifest").collect()} | {r[0] for r in R.snapshots(spark, root).where("back = 1").select("manifest").collect()}
     used = {r[1] for r in R.chunk_refs(R.entries(spark, root), "manifest").select("manifest", "chunk_hash").collect() if r[0] in live}
     stored = {r[0] for r in R.stored_chunks(spark, root).select("hash").collect()}
-    assert {r[0] for r in history.QUERIES["reachability_gc_all"](spark, root).collect()} == stored - used
+    assert {r[0] for r in history.QUERIES["reachability_gc"](spark, root).collect()} == stored - used

@@ -38,6 +38,8 @@ def test_orphans_states(spark):
     assert got == sorted([(1, A, "missing"), (2, B, "deleted"), (2, C, "late")], key=str)
     assert rows(orphans.orphan_references(refs, chunks, spark.createDataFrame([(A.upper(),)], "hash string")).select("ref_id").distinct()) == [(2,)]
     assert orphans.orphan_references(refs.limit(0), chunks, always).count() == 0
+    for hot_rows in (0, 2):  # every key is hot, or one
+        assert rows(orphans.orphan_references(refs, chunks, always, hot_rows).select("ref_id", "target_hash", "ref_state")) == got
     assert orphans.orphan_references(refs, chunks.limit(0), always).where("ref_state <> 'missing'").count() == 0
 
 
@@ -171,4 +173,42 @@ def test_compaction_round_trip(spark, tmp_path):
     assert max(r["n_bytes"] for r in done.files().collect() if r["n_records"] > 1) <= 8192
     with pytest.raises(FileExistsError):
         compaction.compact(df, str(tmp_path / "out"), target_bytes=8192)
-    assert compaction.compact(df.limit(0), str(tmp_path / "none")).duplicates.count() == 0
+    empty = compaction.compact(df.limit(0), str(tmp_path / "none"))
+    assert empty.duplicates.count() == 0 and empty.files().count() == 0
+
+
+def test_compaction_keeps_different_records_of_one_id(spark, tmp_path):
+    """Two rows with one file_id and different data, one of them listed twice, beside another file: three records."""
+    data = [(1, A, b"one"), (1, A, b"two"), (1, A, b"two"), (2, A, b"three"), (3, A, b"two"), (None, None, None)]
+    done = compaction.compact(spark.createDataFrame(data, "file_id long, hash string, data binary"), str(tmp_path / "out"))
+    got = compaction.read_compacted(spark, str(tmp_path / "out")).select("file_id", "data").collect()
+    assert sorted(((r["file_id"], bytes(r["data"] or b"")) for r in got), key=str) == sorted([(1, b"one"), (1, b"two"), (2, b"three"), (None, b"")], key=str)
+    assert [r[0] for r in done.duplicates.collect()] == [3]
+
+
+def test_compaction_finds_damage(spark, tmp_path, monkeypatch):
+    data = [(k, A, bytes([k]) * 100) for k in range(50)]
+    df = spark.createDataFrame(data, "file_id long, hash string, data binary")
+    write = compaction._write
+    for spoil in (lambda d: d.where("file_id <> 7"), lambda d: d.unionAll(d.where("file_id = 7")), lambda d: d.withColumn("data", F.when(F.col("file_id") == 7, F.lit(b"x")).otherwise(F.col("data")))):
+
+        def spoiled(done, at, spoil=spoil):
+            write(done, at + "-good")
+            spoil(spark.read.parquet(at + "-good")).write.partitionBy("folder").parquet(at)
+
+        monkeypatch.setattr(compaction, "_write", spoiled)
+        with pytest.raises(compaction.VerificationError):
+            compaction.compact(df, str(tmp_path / "bad"), target_bytes=1024)
+        assert not (tmp_path / "bad").exists()
+    with pytest.raises(FileNotFoundError):
+        compaction.read_compacted(spark, str(tmp_path / "bad"))
+
+
+@pytest.mark.parametrize("target", [40, 64, 100, 8192, 256 << 20])
+def test_size_classes_hold_their_files(spark, target):
+    sizes = compaction.size_classes(target)
+    assert sizes == sorted(sizes) and sizes[-1] == target and len(sizes) < 600
+    weights = sorted({w for s in sizes[1:] for w in (s - 3, s - 2, s - 1, s, s + 1) if w > 0} | {1, 2 * target})
+    df = spark.createDataFrame([(w,) for w in weights], "w long").select("w", compaction.class_of(F.col("w"), target).alias("c"))
+    for w, c in df.collect():
+        assert (c == len(sizes)) if w > target else (1 <= c < len(sizes) and w <= sizes[c])

@@ -32,4 +32,4 @@ def test_dependencies_of_every_project(spark, root):
     for p, n in want:
         if n in state:
             counts[p][2 if not state[n]["exists_on_disk"] else 0 if state[n]["is_tracked"] else 1] += 1
-    assert {r[0]: list(r[1:]) for r in activity.QUERIES["dep_validate_all"](spark, root).collect()} == dict(counts)
+    assert {r[0]: list(r[1:]) for r in activity.QUERIES["dep_validate"](spark, root).collect()} == dict(counts)

@@ -8,7 +8,7 @@ from cairnlake.plans import relations as R
 
 def test_trees_over_all_snapshots(spark, root):
     kinds = {"A": "added", "D": "removed", "M": "changed"}
-    got = {(r["repo"], r["branch"], r["seq"], r["path"], kinds[r["change"]]) for r in trees.QUERIES["commit_diff_all"](spark, root).collect()}
+    got = {(r["repo"], r["branch"], r["seq"], r["path"], kinds[r["change"]]) for r in trees.QUERIES["commit_diff"](spark, root).collect()}
     assert got == {tuple(r) for r in problems.p6_found(spark, root).collect()}
     snaps = defaultdict(list)
     for r in R.snapshots(spark, root).orderBy("nth").collect():
@@ -24,5 +24,5 @@ def test_trees_over_all_snapshots(spark, root):
                 kept = y if y == z or x == z else z if x == y else "none"
                 if kept != "none":
                     want.add((repo, branch, seq, path, kept))
-    rows = trees.QUERIES["merge_manifests_all"](spark, root).collect()
+    rows = trees.QUERIES["merge_manifests"](spark, root).collect()
     assert len(rows) == len(want) and {(r["repo"], r["branch"], r["seq"], r["path"], r["content_hash"]) for r in rows} == want
