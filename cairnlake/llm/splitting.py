@@ -23,6 +23,7 @@ from cairnlake.session import broadcast_if_small
 CUT_BEFORE = ("video", "audio")
 _WINDOW, _FACTOR = 32, np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 4 << 20
+_BLOCK = 1 << 20
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -37,8 +38,13 @@ def rolling(data: bytes) -> np.ndarray:
 
 
 def landmarks(data: bytes, spacing: int) -> np.ndarray:
-    """Positions (1..len) whose hash has its top bits zero, one in ``spacing`` (a power of two) on average."""
-    return np.flatnonzero(rolling(data) >> np.uint64(65 - int(spacing).bit_length()) == 0) + 1
+    """Positions (1..len) whose hash has its top bits zero, one in ``spacing`` (a power of two) on average; hashed in
+    overlapping blocks, so that an item of any length needs a few MB beside itself."""
+    out, shift = [], np.uint64(65 - int(spacing).bit_length())
+    for at in range(0, len(data), _BLOCK):
+        low = max(0, at - _WINDOW + 1)
+        out.append(np.flatnonzero(rolling(data[low : at + _BLOCK])[at - low :] >> shift == 0) + at + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def boundaries(data: bytes, mark: bytes | None, before: bool) -> tuple[list[int], int]:
@@ -144,7 +150,9 @@ def _split(schema: T.StructType, of_chunks: bool, with_data: bool):
             rows, held = [], 0
             for k in range(batch.num_rows):
                 key, category, n, most, overlap, mark, body = (batch.column(c)[k].as_py() for c in range(7))
-                overlap = max(0, min(overlap or 0, most // 2))
+                overlap = max(0, overlap or 0)
+                if overlap >= most:
+                    raise ValueError(f"{category}: pieces of {most} bytes can't share {overlap}")
                 if of_chunks:
                     pieces, gap = split_extents(n, most, overlap, body), None
                 else:
@@ -167,8 +175,8 @@ def split_chunks(chunks: DataFrame, limits: DataFrame, with_data: bool = True) -
 
     One row a piece: item_key (the hash), category, n_bytes, max_bytes, longest_gap (bytes between two boundaries),
     piece_no, n_pieces, piece_start, piece_end, cut_kind (``natural``, ``forced``, ``end``) and, ``with_data``, the
-    piece itself.  Pieces have at most max_bytes, consecutive ones share overlap_bytes (at most half of max_bytes), and
-    without the shared bytes they give back the data.  Rows with equal hash, category and data are split once; rows with
+    piece itself.  Pieces have at most max_bytes, consecutive ones share overlap_bytes (null or negative: none; max_bytes and
+    more is an error), and without the shared bytes they give back the data.  Rows with equal hash, category and data are split once; rows with
     null data, of a category without limit, or with a limit below 1 are no case.  Other columns are ignored.
     """
     bound = limits.select("category", "max_bytes", "overlap_bytes", "boundary").where(F.col("max_bytes") >= 1).dropDuplicates(["category"])
