@@ -53,10 +53,26 @@ def moving(samples: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def exponential(samples: DataFrame, by: str, alpha: float) -> DataFrame:
-    """(by, ema): the exponential moving average over all samples of a key, in order; a key's values are one array."""
-    each = samples.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "value"))).alias("v"))
-    step = F.aggregate(F.slice("v", 2, F.size("v")), F.col("v")[0]["value"], lambda s, x: s + alpha * (x["value"] - s))
-    return each.select(by, F.round(step, 6).alias("ema"))
+    """(by, ema): the exponential moving average over all samples of a key, in order: a sum in which each value has the weight
+    that the number of later ones leaves it, the first one all that is left."""
+    later = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("id"))
+    earlier = Window.partitionBy(by).orderBy("ts", "id")
+    rows = samples.select(by, "value", (F.row_number().over(later) - 1).alias("after"), (F.lag("id").over(earlier).isNull()).alias("is_first"))
+    weight = F.pow(F.lit(1 - alpha), F.col("after")) * F.when(F.col("is_first"), 1.0).otherwise(alpha)
+    return rows.groupBy(by).agg(F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
+
+
+def sliding_rate(events: DataFrame, width: str, step: str) -> DataFrame:
+    """(start, event_type, rate): events a second in windows of ``width`` that begin every ``step``."""
+    out = events.groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    seconds = F.unix_timestamp(F.col("w.end").cast("timestamp")) - F.unix_timestamp(F.col("w.start").cast("timestamp"))
+    return out.select(F.col("w.start").alias("start"), "event_type", (F.col("n") / seconds).alias("rate"))
+
+
+def retained(rolled: DataFrame, days: int) -> DataFrame:
+    """The buckets of a rollup that are at most ``days`` older than its last one."""
+    last = rolled.agg(F.max("bucket").alias("last"))
+    return rolled.crossJoin(F.broadcast(last)).where(F.col("bucket") >= F.col("last") - F.expr(f"INTERVAL {days} DAYS")).drop("last")  # one row
 
 
 def cumulative_rate(samples: DataFrame, by: str) -> DataFrame:

@@ -92,7 +92,7 @@ def eviction_order(records: DataFrame, policy: str, as_of: Column, decay: float
     return [*orders[policy], F.col("hash")]
 
 
-def evict_until_fits(records: DataFrame, budget: int, parts: int = 64) -> DataFrame:
+def evict_until_fits(records: DataFrame, budget: int) -> DataFrame:
     """The least recently used records, in order, whose removal brings the total down to ``budget`` bytes.
 
     Running sums are taken by time slices: the totals of the earlier slices are added to the sums within a slice.

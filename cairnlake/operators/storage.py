@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.functions.keys import norm_hash
+
 
 def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
     """part / whole, ``empty`` if the whole is 0 or null."""
@@ -12,8 +14,9 @@ def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
 
 
 def file_stats(entries: DataFrame) -> DataFrame:
-    """Per path: size, number of chunks, and whether it is a media container."""
-    return entries.select("repo", "branch", "path", "size", F.coalesce(F.size("chunks"), F.lit(0)).alias("chunk_count"), F.coalesce(F.lower("path").rlike(r"\.(mp4|mov|m4v)$"), F.lit(False)).alias("is_mp4"))
+    """Per path: size, number of chunks, their hashes in order, and whether it is a media container."""
+    hashes = F.coalesce(F.array_join(F.transform("chunks", lambda c: norm_hash(c["hash"])), ","), F.lit(""))
+    return entries.select("repo", "branch", "path", "size", F.coalesce(F.size("chunks"), F.lit(0)).alias("chunk_count"), hashes.alias("hashes"), F.coalesce(F.lower("path").rlike(r"\.(mp4|mov|m4v)$"), F.lit(False)).alias("is_mp4"))
 
 
 def dedup_stats(refs: DataFrame) -> DataFrame:
@@ -69,7 +72,9 @@ def compression_ratios(chunks: DataFrame) -> DataFrame:
 def manifest_totals(entries: DataFrame) -> DataFrame:
     """Per snapshot: bytes, chunk references and distinct chunks."""
     whole = entries.groupBy("repo", "branch").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.sum(F.coalesce(F.size("chunks"), F.lit(0))).cast("long").alias("total_chunks"))
-    return whole
+    each = entries.select("repo", "branch", F.explode("chunks").alias("c")).select("repo", "branch", norm_hash(F.col("c.hash")).alias("h")).where("h is not null").distinct()
+    n = each.groupBy("repo", "branch").agg(F.count(F.lit(1)).alias("distinct_chunks"))
+    return whole.join(n, ["repo", "branch"], "left").select("repo", "branch", "total_size", "total_chunks", F.coalesce("distinct_chunks", F.lit(0)).alias("distinct_chunks"))
 
 
 def chunk_offsets(refs: DataFrame) -> DataFrame:

@@ -94,7 +94,9 @@ QUERIES = {
     "repo_stats_hourly": lambda s, d: A.rollup(_ev(s, d), _hour(), "event_type"),
     "tumbling_5min": lambda s, d: A.rollup(_ev(s, d), A.bucket(F.col("ts"), 5)),
     "user_activity": lambda s, d: A.rollup(_ev(s, d), _day(), "user_id").select("bucket", "user_id", "n", "errors", "total"),
-    "api_metrics": lambda s, d: A.latency(_ev(s, d), _day()),
+    "api_metrics": lambda s, d: A.latency(_ev(s, d), A.bucket(F.col("ts"), 5)),
+    "sliding_rate": lambda s, d: A.sliding_rate(_ev(s, d), "5 minutes", "1 minute"),
+    "retention": lambda s, d: A.retained(A.rollup(_ev(s, d), _hour()), 7),
     "rollup_cube": lambda s, d: _ev(s, d).rollup("event_type", "outcome").agg(F.count(F.lit(1)).alias("n")),
     "sessions": lambda s, d: A.sessions(_ev(s, d), 600),
     "telemetry_flush": lambda s, d: A.batches(_ev(s, d), 10),
@@ -179,7 +181,9 @@ SQL = {
     "repo_stats_hourly": sql("ev", f"SELECT date_trunc('hour', ts) AS bucket, event_type, {_RU} FROM ev GROUP BY 1, 2"),
     "tumbling_5min": sql("ev", f"SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS bucket, {_RU} FROM ev GROUP BY 1"),
     "user_activity": sql("ev", "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, user_id, count(*) AS n, count(*) FILTER (outcome = 'failure') AS errors, round(sum(value), 2) AS total FROM ev GROUP BY 1, 2"),
-    "api_metrics": sql("ev", "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n, count(*) FILTER (outcome = 'failure') AS errors, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max, round(avg(value), 6) AS mean FROM ev GROUP BY 1, 2"),
+    "sliding_rate": sql("ev", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS start, event_type, count(*) / 300 AS rate FROM ev, unnest(range(0, 5)) t(k) GROUP BY 1, 2"),
+    "retention": sql("ev", f"SELECT * FROM (SELECT date_trunc('hour', ts) AS bucket, {_RU} FROM ev GROUP BY 1) WHERE bucket >= (SELECT date_trunc('hour', max(ts)) FROM ev) - INTERVAL 7 DAYS"),
+    "api_metrics": sql("ev", "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS bucket, event_type, count(*) AS n, count(*) FILTER (outcome = 'failure') AS errors, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max, round(avg(value), 6) AS mean FROM ev GROUP BY 1, 2"),
     "rollup_cube": sql("ev", "SELECT event_type, outcome, count(*) AS n FROM ev GROUP BY ROLLUP (event_type, outcome)"),
     "sessions": sql("ev", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN g THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) > INTERVAL 600 MINUTES AS g FROM ev)) GROUP BY user_id, k"),
     "telemetry_flush": sql("ev", "SELECT user_id, k // 10 AS batch, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - 1 AS k FROM ev) GROUP BY 1, 2"),

@@ -72,7 +72,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, root: str) -> DataFrame:
-    """Path, depth, root and nested-set range of every commit and directory, and all roots it descends from over any parents;
+    """Path, depth and root of every commit and directory, the number of its descendants, and all roots it descends from over any parents;
     directories have their names in the path."""
     trees = table(spark, root, "tree_entries").where(is_directory(F.col("mode")))
     names = trees.select(F.concat(F.lit("t:"), norm_hash(F.col("hash"))).alias("node"), "name").where("node is not null").groupBy("node").agg(F.min("name").alias("name"))
@@ -80,7 +80,7 @@ def p2_hierarchy(spark: SparkSession, root: str) -> DataFrame:
     roots = graph.root_links().groupBy("node").agg(F.sort_array(F.collect_list(F.substring("root", 3, 1 << 20))).alias("roots"))
     paths = graph.with_paths(names).join(roots, "node", "left")
     return paths.select(
-        _kind(), F.substring("node", 3, 1 << 20).alias("node"), F.regexp_replace("path", "[ct]:", "").alias("path"), "depth", F.substring("root", 3, 1 << 20).alias("root"), F.coalesce("roots", F.array().cast("array<string>")).alias("roots"), "pre", "size", "n_descendants", "unprocessed"
+        _kind(), F.substring("node", 3, 1 << 20).alias("node"), F.regexp_replace("path", "[ct]:", "").alias("path"), "depth", F.substring("root", 3, 1 << 20).alias("root"), F.coalesce("roots", F.array().cast("array<string>")).alias("roots"), "n_descendants", "unprocessed"
     )
 
 
@@ -189,6 +189,28 @@ SQL = {
     "p2_found": _P2
     + """SELECT kind, node, root, min(n)::INTEGER AS n_links FROM down GROUP BY ALL
 UNION ALL SELECT kind, node, 'cycle', -1 FROM anc WHERE node = a""",
+    "p2_descendants": _P2 + "SELECT kind, a AS node, node AS descendant FROM anc WHERE a != node",
+    "p2_hierarchy": _P2.rstrip()
+    + f""",
+d AS (SELECT kind, node, min(n) AS d FROM down GROUP BY ALL),
+lo AS (
+  SELECT kind, child, parent, min(ord) AS ord FROM (
+    SELECT 'commit' AS kind, {norm_hash_sql("hash")} AS child, {norm_hash_sql("ps[i]")} AS parent, i AS ord
+    FROM (SELECT hash, [parent] || coalesce(parents, []) AS ps FROM commits) x, unnest(range(1, len(x.ps) + 1)) t(i)
+    UNION ALL SELECT 'tree', {norm_hash_sql("hash")}, {norm_hash_sql("tree_hash")}, 0 FROM tree_entries WHERE lower(trim(mode)) IN ('directory', '040000'))
+  WHERE child != parent GROUP BY ALL),
+prim AS (
+  SELECT l.kind, l.child, min({{'d': d.d, 'ord': ord, 'parent': parent}}).parent AS parent
+  FROM lo l JOIN d ON d.kind = l.kind AND d.node = l.parent GROUP BY l.kind, l.child),
+nm AS (SELECT 'tree' AS kind, {norm_hash_sql("hash")} AS node, min(name) AS name FROM tree_entries WHERE lower(trim(mode)) IN ('directory', '040000') GROUP BY 1, 2),
+own AS (SELECT n.kind, n.node, coalesce(nm.name, n.node) AS name FROM nodes n LEFT JOIN nm ON nm.kind = n.kind AND nm.node = n.node),
+pth AS (
+  SELECT o.kind, o.node, o.node AS root, o.name AS path, 0 AS depth FROM own o JOIN d ON d.kind = o.kind AND d.node = o.node AND d.d = 0
+  UNION ALL SELECT o.kind, o.node, p.root, p.path || '/' || o.name, depth + 1 FROM pth p JOIN prim c ON c.kind = p.kind AND c.parent = p.node JOIN own o ON o.kind = c.kind AND o.node = c.child),
+ro AS (SELECT kind, node, list_sort(list(root)) AS roots FROM (SELECT DISTINCT kind, node, root FROM down) GROUP BY ALL),
+nd AS (SELECT kind, a AS node, count(*) AS n FROM anc WHERE a != node GROUP BY ALL)
+SELECT n.kind, n.node, p.path, p.depth, p.root, coalesce(ro.roots, []) AS roots, coalesce(nd.n, 0) AS n_descendants, p.path IS NULL AS unprocessed
+FROM nodes n LEFT JOIN pth p USING (kind, node) LEFT JOIN ro USING (kind, node) LEFT JOIN nd USING (kind, node)""",
     "p4_found": f"""
 SELECT file_id FROM (SELECT file_id, min(file_id) OVER (PARTITION BY {norm_hash_sql("hash")}, data) AS first
 FROM object_files WHERE data IS NOT NULL AND {norm_hash_sql("hash")} IS NOT NULL) WHERE file_id > first""",

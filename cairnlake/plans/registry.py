@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import activity, history, media, problems, storage, trees
+from cairnlake.plans import activity, history, media, problems, sources, storage, trees
 
-MODULES = (problems, storage, trees, history, activity, media)
+MODULES = (problems, storage, trees, history, activity, media, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

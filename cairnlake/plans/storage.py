@@ -70,7 +70,7 @@ SQL = {
     "scan_objects": "SELECT split_part(object_path, '/', 2) AS kind, count(*) AS n FROM object_files GROUP BY 1",
     "scan_object_bytes": "SELECT sum(octet_length(data))::BIGINT AS bytes FROM object_files",
     "scan_proxies_by_suffix": "SELECT count(*) AS n FROM object_files WHERE starts_with(object_path, 'objects/chunks/')",
-    "file_stats": sql(_HEAD, "SELECT repo, branch, path, size, coalesce(len(chunks), 0) AS chunk_count, regexp_matches(lower(path), '\\.(mp4|mov|m4v)$') AS is_mp4 FROM head"),
+    "file_stats": sql(_HEAD, f"SELECT repo, branch, path, size, coalesce(len(chunks), 0) AS chunk_count, coalesce(array_to_string(list_transform(chunks, lambda c: {NH('c.hash')}), ','), '') AS hashes, regexp_matches(lower(path), '\\.(mp4|mov|m4v)$') AS is_mp4 FROM head"),
     "list_files": sql(_HEAD, "SELECT repo, branch, path FROM head"),
     "repo_stats": sql("cm stored", "SELECT (SELECT count(DISTINCT hash) FROM cm) AS n_commits, (SELECT count(DISTINCT manifest) FROM manifests) AS n_manifests, (SELECT count(*) FROM stored) AS n_chunks, (SELECT sum(size)::BIGINT FROM stored) AS chunk_bytes"),
     "repo_dedup_stats": sql(_HEAD + "refs", _DEDUP.format("refs")),
@@ -81,7 +81,7 @@ SQL = {
     "add_result": sql(_HEAD + "refs", f"SELECT * FROM (WITH {_FIRST} SELECT count(*) FILTER (was_new) AS new_chunks, count(*) FILTER (NOT was_new) AS dedup_chunks, coalesce(sum(size) FILTER (was_new), 0)::BIGINT AS new_bytes, coalesce(sum(size) FILTER (NOT was_new), 0)::BIGINT AS dedup_bytes, sum(size)::DOUBLE / nullif(sum(size) FILTER (was_new), 0) AS dedup_ratio FROM f)"),
     "chunk_stats": sql(_HEAD + "refs", "SELECT sum(n)::BIGINT AS total_chunks, count(*) AS unique_chunks, sum(s)::BIGINT AS total_size, sum(hi)::BIGINT AS dedup_size, min(lo) AS min_size, max(hi) AS max_size, sum(s)::DOUBLE / sum(n) AS avg_size, sum(s)::DOUBLE / sum(hi) AS dedup_ratio FROM (SELECT chunk_hash, count(*) AS n, sum(size) AS s, min(size) AS lo, max(size) AS hi FROM refs GROUP BY 1)"),
     "compression_ratio": sql("stored", "SELECT coalesce(compression, 'none') AS compression, count(*) AS n, sum(size)::BIGINT AS stored, sum(original_size)::BIGINT AS original, coalesce(sum(size)::DOUBLE / nullif(sum(original_size), 0), 1.0) AS ratio FROM stored WHERE size IS NOT NULL AND original_size IS NOT NULL GROUP BY 1"),
-    "manifest_totals": sql(_HEAD, "SELECT repo, branch, coalesce(sum(size), 0)::BIGINT AS total_size, sum(coalesce(len(chunks), 0))::BIGINT AS total_chunks FROM head GROUP BY 1, 2"),
+    "manifest_totals": sql(_HEAD + "refs", "SELECT repo, branch, coalesce(sum(size), 0)::BIGINT AS total_size, sum(coalesce(len(chunks), 0))::BIGINT AS total_chunks, any_value(n) AS distinct_chunks FROM head LEFT JOIN (SELECT repo, branch, count(DISTINCT chunk_hash) AS n FROM refs GROUP BY 1, 2) USING (repo, branch) GROUP BY 1, 2"),
     "unique_chunk_hashes": sql(_HEAD + "refs", "SELECT repo, branch, count(DISTINCT chunk_hash) AS n FROM refs GROUP BY 1, 2"),
     "chunk_offsets": sql(_HEAD + "refs", "SELECT repo, branch, path, idx, chunk_hash, size, coalesce(sum(size) OVER (PARTITION BY repo, branch, path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM refs"),
     "chunks_for_range": sql(_HEAD + "refs", "SELECT repo, branch, path, idx, chunk_hash, greatest(500 - start, 0) AS read_start, least(start + size, 2000) - greatest(start, 500) AS read_len FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY repo, branch, path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM refs) WHERE start + size > 500 AND start < 2000"),

@@ -212,3 +212,84 @@ def test_size_classes_hold_their_files(spark, target):
     df = spark.createDataFrame([(w,) for w in weights], "w long").select("w", compaction.class_of(F.col("w"), target).alias("c"))
     for w, c in df.collect():
         assert (c == len(sizes)) if w > target else (1 <= c < len(sizes) and w <= sizes[c])
+
+
+def test_streams_drop_late_rows(spark, tmp_path):
+    """Three files in order: the second moves the watermark on, the third comes too late for its window."""
+    from cairnlake.streaming import twins
+
+    at = lambda h, m=0: T(2025, 1, 1, h, m)
+    files = [[(at(1), "a", 1.0), (at(1, 30), "a", 2.0)], [(at(5), "a", 4.0)], [(at(1, 40), "a", 8.0), (at(5, 10), "a", 16.0)], [(at(9), "a", 32.0)]]
+    like = spark.createDataFrame([], "ts timestamp_ntz, event_type string, value double")
+    for k, rows_ in enumerate(files):
+        spark.createDataFrame(rows_, like.schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    src = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/part=*")
+    got = {r["bucket"]: (r["n"], r["total"]) for r in twins.drained(twins.windowed_counts(src, "1 hour"), "append").collect()}
+    assert got[at(1)] == (2, 3.0) and got[at(5)] == (2, 20.0)
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    from cairnlake.sources import files as S
+
+    (tmp_path / "tree/sub").mkdir(parents=True)
+    (tmp_path / "tree/a.txt").write_bytes(b"one")
+    (tmp_path / "tree/sub/b.wav").write_bytes(b"")
+    (tmp_path / "tree/sub/c.md").write_bytes(b"x")
+    got = {r["path"]: (r["size"], r["content_hash"]) for r in S.scan_worktree(spark, str(tmp_path / "tree"), ["*.wav"]).collect()}
+    assert got == {"a.txt": (3, hashlib.sha256(b"one").hexdigest()), "sub/c.md": (1, hashlib.sha256(b"x").hexdigest())}
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/1.json").write_text('{"name": "p",\n "n": 1}')
+    (tmp_path / "docs/2.json").write_text("{bad")
+    assert [tuple(r)[1:] for r in S.read_documents(spark, str(tmp_path / "docs"), "name string, n long").collect()] == [("p", 1)]
+    (tmp_path / "locks.json").write_text('{"a/b": {"owner": "me", "acquired_at": "2025-01-01T00:00:00", "expires_at": null}}')
+    assert [(r["path"], r["owner"], r["reason"]) for r in S.read_locks(spark, str(tmp_path / "locks.json")).collect()] == [("a/b", "me", None)]
+    (tmp_path / "acc").mkdir()
+    (tmp_path / "acc/1.json").write_text('[{"hash": "h", "size": 1}, {"hash": null}, {"hash": "h", "size": 2}]')
+    (tmp_path / "acc/2.json").write_text("[")
+    assert [(r["hash"], r["size"]) for r in S.read_access(spark, str(tmp_path / "acc")).collect()] == [("h", 2)]
+    store = str(tmp_path / "store")
+    put = lambda *rows_: rows(S.put_if_absent(spark.createDataFrame(rows_, "hash string, data binary"), store))
+    assert put((A, b"a"), (A.upper(), b"a"), (None, b"n")) == [(A, True)]
+    assert put((A, b"a"), (B, None)) == sorted([(A, False), (B, True)], key=str)
+    assert S.stored(spark, store).count() == 2
+    e = lambda *ids: spark.createDataFrame([(i, T(2025, 1, 1), "x", "success", None, 1, 0.5) for i in ids], S.AUDIT_SCHEMA)
+    S.append_audit(e(1, 2, 3), str(tmp_path / "log"), 4)
+    S.append_audit(e(4, 5), str(tmp_path / "log"), 4)
+    assert sorted(r["id"] for r in S.audit_log(spark, str(tmp_path / "log"))[1].collect()) == [2, 3, 4, 5]
+    S.archive(spark.createDataFrame([("r", "a/x"), ("r", "b/x")], "repo string, path string"), str(tmp_path / "ar"), "a/")
+    assert [r["path"] for r in spark.read.json(str(tmp_path / "ar")).collect()] == ["a/x"]
+
+
+def test_file_kinds_and_storage(spark):
+    from cairnlake.functions import scalars as S
+
+    cases = [("a.MP4", b"", "video", "binary"), ("x/y.exr", b"", "video", "binary"), ("m.blend", b"", "model3d", "binary"), ("p.xml", b"", "project", "text"), ("p.prproj", b"", "project", "hybrid"), ("u.uasset", b"", "game_asset", "binary"), ("s.rs", b"", "text", "text"),
+             (".gitignore", b"\0", "binary", "text"), ("go.mod", b"\0", "binary", "text"), ("x.unknown", b"", "binary", "text"), ("x.unknown", b"a\nb\n", "binary", "text"), ("x.unknown", b"ab" + b"\0", "binary", "binary"), ("x.unknown", b"a" * 8192 + b"\0", "binary", "binary"),
+             ("x.unknown", (b"a" * 100 + b"\n") * 90 + b"\0", "binary", "text"), ("x.unknown", b"\xff\xfe", "binary", "binary"), ("x.unknown", b"a" * 499, "binary", "text"), ("x.unknown", b"a" * 500, "binary", "binary"), ("x.unknown", "ü".encode() * 250, "binary", "binary"), ("x.unknown", None, "binary", "binary"), ("a.psd", None, "image", "binary")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, path string, data binary, kind string, storage string")
+    for r in df.select("k", "path", "kind", "storage", S.file_kind(F.col("path")).alias("got_kind"), S.storage_of(F.col("path"), F.col("data")).alias("got")).collect():
+        assert (r["got_kind"], r["got"]) == (r["kind"], r["storage"]), r
+
+
+def test_policy_conditions_and_merge_conflicts(spark):
+    from cairnlake.operators import lifecycle as L
+    from cairnlake.operators import trees as op
+
+    now = F.lit("2025-12-31").cast("timestamp_ntz")
+    rec = spark.createDataFrame([("a", 1, "hot", T(2025, 1, 1), T(2025, 12, 30), 2, False, False), ("b", 1, "hot", T(2025, 12, 1), T(2025, 12, 30), 9, False, False), ("c", 1, "warm", T(2025, 12, 1), T(2025, 12, 30), 9, True, False)], "hash string, size long, tier string, created_at timestamp_ntz, last_accessed timestamp_ntz, access_count long, is_proxy boolean, is_manifest boolean")
+    rule = lambda *rs: spark.createDataFrame(rs, "priority int, from_tier string, to_tier string, cond_type string, cond_value long, exclude_protected boolean")
+    fired = lambda *rs: rows(L.evaluate(rec, rule(*rs), now).select("hash", "to_tier"))
+    assert fired((1, "hot", "cold", "age_days", 100, True)) == [("a", "cold")]
+    assert fired((1, "hot", "cold", "access_count_below", 9, True)) == [("a", "cold")]
+    assert fired((1, "hot", "cold", "always", 0, True), (2, "warm", "cold", "always", 0, True)) == [("a", "cold"), ("b", "cold")]
+    assert fired((1, "warm", "cold", "always", 0, False)) == [("c", "cold")]
+    assert fired((2, "hot", "cold", "always", 0, True), (1, "hot", "warm", "access_count_below", 5, True)) == [("a", "warm"), ("b", "cold")]
+    tree = lambda **paths: spark.createDataFrame([("r", "b", p, h) for p, h in paths.items()], "repo string, branch string, path string, content_hash string")
+    base, ours, theirs = tree(a="1", b="1", c="1", d="1", e="1", f="1"), tree(a="2", c="2", d="2", f="1", n="1", s="7", e="3"), tree(a="3", b="2", d="2", f="2", n="2", s="7", e="1")
+    got = {r["path"]: r["outcome"] for r in op.three_way(base, ours, theirs).collect()}
+    assert got == {"a": "both_modified", "b": "delete_modify", "c": "modify_delete", "d": "same", "e": "ours", "f": "theirs", "n": "both_added", "s": "same"}
+    old, new = tree(a="1", b="2"), tree(a="1", c="1", d="2")
+    assert [r["path"] for r in op.copies(old, new).collect()] == ["c"]
+    assert [(r["old_path"], r["new_path"]) for r in op.renames(old, new).collect()] == [("b", "d")]
+    sync = lambda df: df.withColumn("chunks", F.array(F.struct(F.concat(F.lit("B3: "), "content_hash").alias("hash"), F.lit(5).cast("long").alias("size"))))
+    assert rows(op.sync_diff(sync(new), sync(old)).select("path", "change", "n_new", "n_kept", "n_removed", "transfer_bytes")) == [("a", "M", 0, 1, 0, 0), ("b", "D", 0, 0, 1, 0), ("c", "A", 1, 0, 0, 5), ("d", "A", 1, 0, 0, 5)]
